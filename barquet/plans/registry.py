@@ -31,10 +31,15 @@ def r(col: str | Column, digits: int = 8) -> Column:
 
 
 def rounded(df: DataFrame, digits: int = 8, **special: int) -> DataFrame:
-    """Round every double column of a result."""
-    return df.select(
-        *[
-            r(c, special.get(c, digits)).alias(c) if t in ("double", "float") else F.col(c)
-            for c, t in df.dtypes
-        ]
-    )
+    """Round every double column of a result, keep NaN out, and give timestamps without a zone."""
+
+    def column(c: str, t: str) -> Column:
+        if t in ("double", "float"):
+            return r(F.nanvl(F.col(c), F.lit(None)), special.get(c, digits)).alias(c)
+        if t == "timestamp":
+            return F.col(c).cast("timestamp_ntz").alias(c)
+        if t == "int":
+            return F.col(c).cast("long").alias(c)
+        return F.col(c)
+
+    return df.select(*[column(c, t) for c, t in df.dtypes])
