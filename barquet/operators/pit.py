@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barquet.operators.scan import running
+from barquet.operators.scan import SYMBOL, running
 
 
 def as_of_series(probes: DataFrame, series: DataFrame, order: str = "d", value: str = "v") -> DataFrame:
@@ -21,3 +21,115 @@ def as_of_series(probes: DataFrame, series: DataFrame, order: str = "d", value:
     known = running(line.withColumn("_k", F.lit(1)), {"_v": ("last", value)}, ["_k"], (order, "_s"), bounded=True)
     resolved = known.filter("_s = 1").select(order, F.col("_v").alias(value))
     return probes.join(resolved, order, "left")
+
+
+def known_at(
+    probes: DataFrame, series: DataFrame, value: str, out: str, keys: Sequence[str] = SYMBOL, order: str = "d",
+    known: str = "filed", rank: str = "period_end",
+) -> DataFrame:
+    """For each probe the value with the greatest ``rank`` among those with ``known`` <= the probe's date.
+
+    One running maximum over the union of both tables; a value filed on the day itself counts.
+    """
+    keys = list(keys)
+    held = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
+    cols = [c for c in probes.columns if c not in (*keys, order)]
+    packed = probes.select(*keys, order, F.struct(*cols).alias("_row"), F.lit(None).cast(
+        series.select(held.alias("h")).schema["h"].dataType).alias("_h"))
+    filed = series.select(
+        *keys, F.col(known).alias(order), F.lit(None).cast(packed.schema["_row"].dataType).alias("_row"), held.alias("_h")
+    )
+    line = packed.withColumn("_p", F.lit(True)).unionByName(filed.withColumn("_p", F.lit(False)))
+    state = running(line, {"_k": ("max", "_h")}, keys, (order,), by_range=True)
+    return state.filter("_p").select(*keys, order, "_row.*", F.col("_k.v").alias(out))
+
+
+def quarterly_series(points: DataFrame, keys: Sequence[str] = SYMBOL, tie: str | None = None) -> DataFrame:
+    """Quarters from duration points: explicit 80-100 day spans, and Q4 = year less its three quarters.
+
+    The earliest-filed value of a period stands (per fiscal year for 350-380 day spans).
+    """
+    keys = list(keys)
+    span = F.datediff("period_end", "start")
+    first = F.struct("filed", *([tie] if tie else []))
+    short = points.filter((span >= 80) & (span <= 100))
+    explicit = short.groupBy(*keys, "period_end").agg(F.min_by(F.struct("filed", "val"), first).alias("w")).select(
+        *keys, "period_end", "w.filed", "w.val"
+    )
+    annual = (
+        points.filter((span >= 350) & (span <= 380) & F.col("fy").isNotNull())
+        .groupBy(*keys, "fy")
+        .agg(F.min_by(F.struct("period_end", "filed", "val"), first).alias("w"))
+        .select(*keys, "fy", F.col("w.period_end").alias("year_end"), F.col("w.filed").alias("year_filed"),
+                F.col("w.val").alias("year_val"))
+    )
+    tagged = short.filter("fy IS NOT NULL").select(*keys, "fy", "period_end").distinct()
+    newest_first = W.partitionBy(*keys, "fy").orderBy(F.col("period_end").desc())
+    three = (
+        tagged.join(explicit, [*keys, "period_end"])
+        .join(annual, [*keys, "fy"])
+        .filter("period_end < year_end")
+        .withColumn("_rn", F.row_number().over(newest_first))
+        .filter("_rn <= 3")
+        .groupBy(*keys, "fy", "year_end", "year_filed", "year_val")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("val").alias("_s"))
+        .filter("_n = 3")
+    )
+    derived = three.select(
+        *keys, F.col("year_end").alias("period_end"), F.col("year_filed").alias("filed"),
+        (F.col("year_val") - F.col("_s")).alias("val"),
+    ).join(explicit, [*keys, "period_end"], "left_anti")
+    return explicit.unionByName(derived)
+
+
+def instant_series(points: DataFrame, keys: Sequence[str] = SYMBOL, tie: str | None = None) -> DataFrame:
+    """Earliest-filed value per period end."""
+    first = F.struct("filed", *([tie] if tie else []))
+    return points.groupBy(*keys, "period_end").agg(F.min_by(F.struct("filed", "val"), first).alias("w")).select(
+        *keys, "period_end", "w.filed", "w.val"
+    )
+
+
+def quarter_states(quarters: DataFrame, keys: Sequence[str] = SYMBOL) -> DataFrame:
+    """Per filing date the quarters known then, oldest first.
+
+    A key has one row per fiscal quarter, so both the window and the array are short.
+    """
+    known = W.partitionBy(*keys).orderBy("filed").rangeBetween(W.unboundedPreceding, W.currentRow)
+    listed = quarters.withColumn("q", F.array_sort(F.collect_list(F.struct("period_end", "val")).over(known)))
+    return listed.groupBy(*keys, "filed").agg(F.max("q").alias("q"))
+
+
+def trailing_sum(quarters: DataFrame, keys: Sequence[str] = SYMBOL, n: int = 4) -> DataFrame:
+    """State after each filing: sum of the n latest quarters, NULL with fewer."""
+    state = quarter_states(quarters, keys)
+    last = F.transform(F.slice("q", -n, n), lambda x: x["val"])
+    total = F.aggregate(last, F.lit(0.0), lambda a, x: a + x)
+    return state.select(*keys, "filed", F.when(F.size("q") >= n, total).alias("ttm"))
+
+
+def standardised_surprise(quarters: DataFrame, keys: Sequence[str] = SYMBOL, min_hist: int = 8) -> DataFrame:
+    """State after each filing: latest year-over-year change against mean and deviation of the earlier ones."""
+    state = quarter_states(quarters, keys).filter(F.size("q") >= 1)
+    n = F.size("q")
+    change = F.when(
+        n >= 5, F.transform(F.sequence(F.lit(4), n - 1), lambda i: F.get("q", i)["val"] - F.get("q", i - 4)["val"])
+    )
+    state = state.withColumn("_yoy", change).withColumn("_prior", F.slice("_yoy", 1, F.size("_yoy") - 1))
+    state = state.withColumn(
+        "_mean", F.try_divide(F.aggregate("_prior", F.lit(0.0), lambda a, x: a + x), F.size("_prior"))
+    )
+    squares = F.aggregate("_prior", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean")))
+    sd = F.sqrt(F.try_divide(squares, F.size("_prior") - 1))
+    sue = F.when(sd > 0, (F.element_at("_yoy", -1) - F.col("_mean")) / sd)
+    enough = (n >= min_hist) & (F.size("_yoy") >= 3)
+    return state.select(*keys, "filed", F.when(enough, sue).alias("sue"))
+
+
+def value_ratios(bars: DataFrame, equity: DataFrame, shares: DataFrame, quarters: DataFrame) -> DataFrame:
+    """Book-to-market and earnings yield of each bar from what was filed by then."""
+    df = known_at(bars.select(*SYMBOL, "d", "close"), equity, "val", "equity")
+    df = known_at(df, shares, "val", "shares")
+    df = known_at(df, trailing_sum(quarters), "ttm", "ttm", rank="filed")
+    cap = F.when((F.col("shares") > 0) & (F.col("close") > 0), F.col("close") * F.col("shares"))
+    return df.withColumn("book_to_market", F.col("equity") / cap).withColumn("earnings_yield", F.col("ttm") / cap)

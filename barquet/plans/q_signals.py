@@ -11,7 +11,7 @@ from barquet.operators.pit import as_of_series
 from barquet.operators.returns import calendar
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
-from barquet.sources.bridge import bars_day, bars_hour, macro
+from barquet.sources.bridge import bars_day, bars_hour, macro_long
 
 BY = "PARTITION BY market, ticker ORDER BY d"
 
@@ -407,9 +407,9 @@ def ag13(spark, sf):
 define("rows_reg", icrows_sql("dec_reg", ["reversal_5"]), ("dec_reg", "fwd", "sig"))
 define(
     "regime",
-    """SELECT c.market, c.d FROM cal c ASOF JOIN (SELECT d + (DATE '1995-01-02' - (SELECT min(d) FROM macro)) * 1 AS d, val FROM macro) m ON c.d >= m.d
-WHERE m.val > (SELECT avg(val) FROM macro)""",
-    ("cal", "macro"),
+    """SELECT c.market, c.d FROM cal c ASOF JOIN macro_long m ON c.d >= m.d
+WHERE m.val > (SELECT avg(val) FROM macro_long)""",
+    ("cal", "macro_long"),
 )
 define("dec_reg", decisions_sql("spans", "EXISTS (SELECT 1 FROM regime g WHERE g.market = c.market AND g.d = c.d)"), ("cal", "spans", "regime"))
 define("ics_reg", ics_sql("rows_reg"), ("rows_reg",))
@@ -418,11 +418,9 @@ define("ics_reg", ics_sql("rows_reg"), ("rows_reg",))
 @query("flt7_regime_filter", sql("ics_reg", summary_sql("ics_reg", "dec_reg", ["reversal_5"])))
 def flt7(spark, sf):
     bars = bars_day(spark, sf)
-    series = macro(spark, sf)
-    shape = series.agg(F.min("d").alias("d0"), F.avg("val").alias("m"))
-    moved = series.crossJoin(F.broadcast(shape)).select(  # one row
-        F.date_add("d", F.datediff(F.lit("1995-01-02").cast("date"), F.col("d0"))).alias("d"), "val", "m"
-    )
-    state = as_of_series(calendar(bars), moved.select("d", F.struct("val", "m").alias("v")))
+    series = macro_long(spark, sf)
+    mean = series.agg(F.avg("val").alias("m"))
+    known = series.crossJoin(F.broadcast(mean)).select("d", F.struct("val", "m").alias("v"))  # one row
+    state = as_of_series(calendar(bars), known)
     allowed = state.filter("v.val > v.m").select("market", "d")
     return rounded(ic.signal_scan(bars, ["reversal_5"], ic.whole_span(bars), H, min_cross_section=XS, allowed=allowed))

@@ -51,6 +51,14 @@ FROM (SELECT DISTINCT market, d FROM bars)""",
     "macro": """
 SELECT CAST(ts AS DATE) AS d, round(avg(value), 6) AS val, 'EVENT_MEAN' AS series_id
 FROM events GROUP BY 1""",
+    "macro_long": """
+SELECT DATE '1995-01-02' + CAST((d - (SELECT min(d) FROM macro)) * 80 AS INTEGER) AS d, val FROM macro""",
+    "calm": """
+SELECT market, ticker, currency, d, round(power(open, 0.03) * 100, 6) AS open, round(power(high, 0.03) * 100, 6) AS high,
+       round(power(low, 0.03) * 100, 6) AS low, round(power(close, 0.03) * 100, 6) AS close, volume FROM bars""",
+    "calmh": """
+SELECT market, ticker, currency, ts, round(power(open, 0.03) * 100, 6) AS open, round(power(high, 0.03) * 100, 6) AS high,
+       round(power(low, 0.03) * 100, 6) AS low, round(power(close, 0.03) * 100, 6) AS close, volume FROM hours""",
     "orders_by_nation": """
 SELECT 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS ticker,
        CASE WHEN c_nationkey % 2 = 0 THEN 'NASDAQ' ELSE 'KOSPI' END AS market,
@@ -93,6 +101,9 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "edited": ("numbered",),
     "dirty": ("edited",),
     "cal": ("bars",),
+    "macro_long": ("macro",),
+    "calm": ("bars",),
+    "calmh": ("hours",),
     "cuts": ("orders_by_nation",),
     "points": ("cuts",),
     "news": ("kinds",),

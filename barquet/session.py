@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +53,8 @@ def staged(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, for tables a query writes and reads back."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -137,6 +137,23 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def macro_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The macro series stretched over the years of the daily bars: one observation every 80 days."""
+    series = macro(spark, sf)
+    first = series.agg(F.min("d").alias("d0"))
+    moved = F.date_add(F.lit("1995-01-02").cast("date"), F.datediff("d", "d0") * 80)
+    return series.crossJoin(F.broadcast(first)).select(moved.alias("d"), "val")  # one row
+
+
+CALM = 0.03
+
+
+def calm(bars: DataFrame) -> DataFrame:
+    """Bars whose price moves are damped to the size of real ones: 100 * p ** 0.03."""
+    prices = {c: F.round(F.pow(F.col(c), F.lit(CALM)) * 100.0, 6) for c in ("open", "high", "low", "close")}
+    return bars.withColumns(prices)
+
+
 def duration_points(spark: SparkSession, sf: str) -> DataFrame:
     """Order totals as filed fundamentals: quarterly, half-yearly and yearly points with filing lags."""
     orders = table(spark, sf, "orders")
