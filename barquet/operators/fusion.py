@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from barquet.operators.scan import SYMBOL, running
 
 
-def combined(signals: DataFrame, weights: Mapping[str, float] | None = None, order: str = "ts") -> DataFrame:
+def combined(
+    signals: DataFrame, weights: Mapping[str, float] | None = None, order: str = "ts", by: Sequence[str] = ()
+) -> DataFrame:
     """Confidence-weighted mean score per symbol and time; a source without a weight counts 1."""
     w = F.lit(1.0)
     if weights:
@@ -19,7 +21,7 @@ def combined(signals: DataFrame, weights: Mapping[str, float] | None = None, ord
         w = F.coalesce("_w", F.lit(1.0))
     pull = F.col("confidence") * w
     close = [F.max("close").alias("close")] if "close" in signals.columns else []
-    return signals.groupBy(*SYMBOL, order).agg(
+    return signals.groupBy(*by, *SYMBOL, order).agg(
         F.coalesce(F.try_divide(F.sum(F.col("score") * pull), F.sum(pull)), F.lit(0.0)).alias("combined"),
         F.count(F.lit(1)).alias("n_sources"),
         *close,

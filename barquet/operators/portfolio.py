@@ -434,9 +434,4 @@ def combined_grid_scores(signals: DataFrame, strategies: Mapping[str, Sequence[s
     """Fused scores per strategy, a strategy being a set of sources."""
     pairs = [(name, source) for name, sources in strategies.items() for source in sources]
     table = signals.sparkSession.createDataFrame(pairs, "strategy string, source string")
-    each = signals.join(F.broadcast(table), "source")
-    out = None
-    for name in strategies:
-        fused = fusion.combined(each.filter(F.col("strategy") == name), weights, order).withColumn("strategy", F.lit(name))
-        out = fused if out is None else out.unionByName(fused)
-    return out
+    return fusion.combined(signals.join(F.broadcast(table), "source"), weights, order, by=("strategy",))

@@ -230,7 +230,7 @@ def _snap(spark, sf):
     SNAP + """, x AS (SELECT id, b / 10000 AS t, id % 17 = 0 AS killed, (id % 9) * 1.0 AS atr, (id % 50) * 1.0 AS close, (id % 7) / 10.0 AS mw, (id % 4) / 20.0 AS pw, id % 3 AS pos, id % 12 AS n,
  CASE market WHEN 'NASDAQ' THEN 0.5 END AS cap FROM c),
 y AS (SELECT *, least(t, 0.2) * CASE WHEN close > 0 AND atr / close > 0 THEN least(1, 0.02 / (atr / close)) ELSE 1 END AS w FROM x)
-SELECT id, round(CASE WHEN t <= 0 OR killed THEN 0.0 WHEN pos = 0 AND n >= 10 THEN 0.0 ELSE greatest(0, CASE WHEN cap IS NOT NULL THEN least(w, greatest(0, cap - (mw - pw))) ELSE w END) END, 8) AS weight FROM y""",
+SELECT id, round(CASE WHEN t <= 0 OR killed THEN 0.0 WHEN pos = 0 AND n >= 10 THEN 0.0 ELSE greatest(0, CASE WHEN cap IS NOT NULL THEN least(w, greatest(0, cap - (mw - pw))) ELSE w END) END, 12) AS weight FROM y""",
 )
 def pf2(spark, sf):
     i = F.col("id")
@@ -238,7 +238,7 @@ def pf2(spark, sf):
         F.col("b") / 10000, i % 17 == 0, (i % 9) * 1.0, (i % 50) * 1.0, (i % 7) / 10.0, (i % 4) / 20.0, i % 3, i % 12,
         F.when(F.col("market") == "NASDAQ", F.lit(0.5)), max_positions=10,
     )
-    return rounded(_snap(spark, sf).select("id", weight.alias("weight")))
+    return rounded(_snap(spark, sf).select("id", weight.alias("weight")), 12)
 
 
 @query(
