@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barquet.functions.columns import Slippage, market_commission, to_krw, with_costs
 from barquet.operators.scan import SYMBOL, framed, running, with_position
+from barquet.session import staged
 
 FX = {"KRW": 1.0, "USD": 1300.0}
 
@@ -33,7 +34,7 @@ def apply_fills(
 ) -> DataFrame:
     """Cash and position after each fill, by running sums in fill order."""
     flows = cash_flow(fills, rates)
-    cash = running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1)
+    cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1))
     held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order)
     return held.withColumn("cash_krw", F.lit(initial_cash) + F.col("_c")).drop("_c", "flow_krw", "delta_qty")
 

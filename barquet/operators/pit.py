@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -31,17 +32,32 @@ def known_at(
 
     One running maximum over the union of both tables; a value filed on the day itself counts.
     """
+    return all_known_at(probes, {out: Series(series, value, rank, known)}, keys, order)
+
+
+@dataclass(frozen=True)
+class Series:
+    """Filed values: which column counts, what ranks them, and when they became known."""
+
+    rows: DataFrame
+    value: str
+    rank: str = "period_end"
+    known: str = "filed"
+
+
+def all_known_at(
+    probes: DataFrame, series: Mapping[str, Series], keys: Sequence[str] = SYMBOL, order: str = "d"
+) -> DataFrame:
+    """``known_at`` for several series in one pass over the union of all of them."""
     keys = list(keys)
-    held = F.struct(F.col(rank).alias("r"), F.col(value).alias("v"))
     cols = [c for c in probes.columns if c not in (*keys, order)]
-    packed = probes.select(*keys, order, F.struct(*cols).alias("_row"), F.lit(None).cast(
-        series.select(held.alias("h")).schema["h"].dataType).alias("_h"))
-    filed = series.select(
-        *keys, F.col(known).alias(order), F.lit(None).cast(packed.schema["_row"].dataType).alias("_row"), held.alias("_h")
-    )
-    line = packed.withColumn("_p", F.lit(True)).unionByName(filed.withColumn("_p", F.lit(False)))
-    state = running(line, {"_k": ("max", "_h")}, keys, (order,), by_range=True)
-    return state.filter("_p").select(*keys, order, "_row.*", F.col("_k.v").alias(out))
+    line = probes.select(*keys, order, F.struct(*cols).alias("_row"), F.lit(True).alias("_p"))
+    for out, s in series.items():
+        held = F.struct(F.col(s.rank).alias("r"), F.col(s.value).alias("v")).alias(f"_h_{out}")
+        filed = s.rows.select(*keys, F.col(s.known).alias(order), held, F.lit(False).alias("_p"))
+        line = line.unionByName(filed, allowMissingColumns=True)
+    state = running(line, {f"_k_{out}": ("max", f"_h_{out}") for out in series}, keys, (order,), by_range=True)
+    return state.filter("_p").select(*keys, order, "_row.*", *[F.col(f"_k_{out}.v").alias(out) for out in series])
 
 
 def quarterly_series(points: DataFrame, keys: Sequence[str] = SYMBOL, tie: str | None = None) -> DataFrame:
@@ -128,8 +144,13 @@ def standardised_surprise(quarters: DataFrame, keys: Sequence[str] = SYMBOL, min
 
 def value_ratios(bars: DataFrame, equity: DataFrame, shares: DataFrame, quarters: DataFrame) -> DataFrame:
     """Book-to-market and earnings yield of each bar from what was filed by then."""
-    df = known_at(bars.select(*SYMBOL, "d", "close"), equity, "val", "equity")
-    df = known_at(df, shares, "val", "shares")
-    df = known_at(df, trailing_sum(quarters), "ttm", "ttm", rank="filed")
+    df = all_known_at(
+        bars.select(*SYMBOL, "d", "close"),
+        {
+            "equity": Series(equity, "val"),
+            "shares": Series(shares, "val"),
+            "ttm": Series(trailing_sum(quarters), "ttm", rank="filed"),
+        },
+    )
     cap = F.when((F.col("shares") > 0) & (F.col("close") > 0), F.col("close") * F.col("shares"))
     return df.withColumn("book_to_market", F.col("equity") / cap).withColumn("earnings_yield", F.col("ttm") / cap)

@@ -321,7 +321,7 @@ def grid_equity(returns: DataFrame, symbols: int | Column, init: float = INIT, o
 def grid_report(returns: DataFrame, equity: DataFrame, order: str = "ts") -> DataFrame:
     """Trades, return, drawdown, exposure, mean holding and final equity per strategy and threshold."""
     run = ["strategy", "threshold"]
-    flags = ledger.open_flags(returns, [*run, *SYMBOL], order, "active")
+    flags = staged(ledger.open_flags(returns, [*run, *SYMBOL], order, "active"))
     trades = returns.groupBy(*run).agg(F.sum("traded").alias("trades"))
     final = equity.groupBy(*run).agg(F.max_by("equity", order).alias("final_equity"))
     parts = [

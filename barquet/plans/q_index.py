@@ -8,6 +8,7 @@ from barquet.operators import indexing as ix
 from barquet.operators import returns as rt
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
+from barquet.session import staged
 from barquet.sources.bridge import bars_day
 
 define(
@@ -33,9 +34,9 @@ FROM (SELECT market, d, r, product(1 + r) OVER (PARTITION BY market ORDER BY d)
     ("dew",),
 )
 def _ew(spark, sf):
-    raw = rt.equal_weight_returns(bars_day(spark, sf))
+    raw = staged(rt.equal_weight_returns(bars_day(spark, sf)))
     mean = raw.groupBy("market").agg(F.round(F.avg("r"), 6).alias("m"))
-    return raw.join(mean, "market").select("market", "d", ((F.col("r") - F.col("m")) * 0.01 + 0.0003).alias("r"))
+    return staged(raw.join(mean, "market").select("market", "d", ((F.col("r") - F.col("m")) * 0.01 + 0.0003).alias("r")))
 
 
 METRICS = """count(*) AS n_days, round(power(arg_max(equity, d), 252.0 / count(*)) - 1, 8) AS cagr,

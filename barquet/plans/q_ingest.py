@@ -8,7 +8,7 @@ from barquet import schemas
 from barquet.operators import quality as qa
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
-from barquet.session import run_folder
+from barquet.session import run_folder, staged
 from barquet.sources import bars as rest
 from barquet.sources import cleaning, ingest, text
 from barquet.sources.bridge import (
@@ -426,9 +426,9 @@ LEFT JOIN (SELECT market, ticker, count(*) AS runs FROM (SELECT market, ticker,
 
 
 def _quality_input(spark, sf):
-    rows = cleaning.without_gaps(corrupted_bars(spark, sf))
+    rows = staged(cleaning.without_gaps(corrupted_bars(spark, sf)))
     extra = table(spark, sf, "region").select(F.lit("NASDAQ").alias("market"), F.concat(F.lit("X"), "r_regionkey").alias("ticker"))
-    names = bars_day(spark, sf).select("market", "ticker").distinct().unionByName(extra)
+    names = lines(spark, sf).select("market", "ticker").distinct().unionByName(extra)
     return rows, names
 
 

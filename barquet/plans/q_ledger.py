@@ -11,6 +11,7 @@ from barquet.operators import fusion, ledger, recon
 from barquet.plans.q_signals import WEIGHTS
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
+from barquet.session import staged
 from barquet.sources import text
 from barquet.sources.bridge import bars_day, bars_hour, lines, market_currency, nation_ticker, table
 
@@ -198,12 +199,12 @@ define(
 CAST(sum(dq) OVER (PARTITION BY account, market, ticker ORDER BY d, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM flows"""),
 )
 def ag20(spark, sf):
-    return ledger.apply_fills(fills(spark, sf), initial_cash=1e9).select(*ID, "cash_krw", "position")
+    return ledger.apply_fills(staged(fills(spark, sf)), initial_cash=1e9).select(*ID, "cash_krw", "position")
 
 
 def _values(spark, sf):
     bars = bars_day(spark, sf).withColumn("close", F.round("close", 0))
-    return ledger.symbol_values(fills(spark, sf), bars)
+    return staged(ledger.symbol_values(staged(fills(spark, sf)), staged(bars)))
 
 
 define(
@@ -512,7 +513,7 @@ def jn18(spark, sf):
 
 
 def _signals(spark, sf):
-    return ind.indicator_signals(bars_hour(spark, sf))
+    return staged(ind.indicator_signals(bars_hour(spark, sf)))
 
 
 def _fused(spark, sf):
@@ -566,12 +567,13 @@ def jn14(spark, sf):
 
 
 def _records(spark, sf, run_id="r1"):
-    scores = fusion.hysteresis(_fused(spark, sf), 0.2, 0.0)
+    signals = _signals(spark, sf)
+    scores = staged(fusion.hysteresis(staged(fusion.combined(signals, WEIGHTS)), 0.2, 0.0))
     orders = scores.filter(F.abs("combined") >= 0.3).select(
         "market", "ticker", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"),
         F.when(F.col("combined") > 0, "BUY").otherwise("SELL").alias("side"), F.round(F.abs("combined") * 100, 0).cast("long").alias("q"),
     ).select("market", "ticker", "ts", "seq", "side", (F.col("q") * F.col("seq")).alias("quantity"))
-    return recon.decision_records(_signals(spark, sf), scores, orders, "engine", run_id)
+    return staged(recon.decision_records(signals, scores, orders, "engine", run_id))
 
 
 @query(
@@ -608,10 +610,11 @@ def sc14(spark, sf):
     sql("fused", RECORDS + "SELECT CASE WHEN hour(ts) % 3 = 0 THEN 'append' WHEN hour(ts) % 3 = 1 AND action <> 'HOLD' THEN 'conflict' ELSE 'skip' END AS verdict, key FROM rec"),
 )
 def sc15(spark, sf):
-    old = _records(spark, sf, "r0")
+    new = _records(spark, sf, "r1")
+    old = new.withColumn("run_id", F.lit("r0"))
     changed = F.when((F.hour("ts") % 3 == 1) & (F.col("action") != "HOLD"), F.col("qty") + 1).otherwise(F.col("qty"))
     journal = recon.decision_hash(old.filter(F.hour("ts") % 3 != 0).withColumn("qty", changed))
-    return recon.journal_upsert(journal, recon.decision_hash(_records(spark, sf, "r1"))).select("verdict", "key")
+    return recon.journal_upsert(journal, recon.decision_hash(new)).select("verdict", "key")
 
 
 @query(

@@ -21,7 +21,7 @@ LOOK, SKIP, PCT, MIN_K, MAX_K = 252, 21, 0.3, 3, 6
 
 
 def _bars(spark, sf):
-    return calm(bars_day(spark, sf))
+    return staged(calm(bars_day(spark, sf)))
 
 
 define(
@@ -340,9 +340,10 @@ define(
 
 
 def _grid(spark, sf):
-    bars = calm(bars_hour(spark, sf))
-    scores = pf.combined_grid_scores(ind.indicator_signals(bars_hour(spark, sf)), STRATEGIES, WEIGHTS)
-    weights = pf.grid_weights(scores, THRESHOLDS)
+    hours = staged(bars_hour(spark, sf))
+    bars = calm(hours)
+    scores = staged(pf.combined_grid_scores(ind.indicator_signals(hours), STRATEGIES, WEIGHTS))
+    weights = staged(pf.grid_weights(scores, THRESHOLDS))
     returns = staged(pf.grid_returns(weights, bars, list(STRATEGIES), THRESHOLDS))
     names = returns.select("ticker").distinct().count()
     return returns, staged(pf.grid_equity(returns, names))
@@ -398,7 +399,7 @@ round(b.cagr - a.cagr, 6) AS cagr_delta, round(b.max_drawdown - a.max_drawdown,
 round(b.cagr / abs(b.max_drawdown) - a.cagr / abs(a.max_drawdown), 6) AS calmar_delta FROM a JOIN b USING (market)"""),
 )
 def pf12(spark, sf):
-    return rounded(pf.vol_target_comparison(staged(_ew(spark, sf)), 0.12), 6)
+    return rounded(pf.vol_target_comparison(_ew(spark, sf), 0.12), 6)
 
 
 # ---- funding basket --------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from barquet.operators.pit import as_of_series
 from barquet.operators.returns import calendar
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
+from barquet.session import staged
 from barquet.sources.bridge import bars_day, bars_hour, macro_long
 
 BY = "PARTITION BY market, ticker ORDER BY d"
@@ -268,7 +269,7 @@ def pf1(spark, sf):
 OVER (PARTITION BY market, ticker ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0), 6) AS weight FROM fused"""),
 )
 def rn7(spark, sf):
-    fused = fusion.combined(ind.indicator_signals(bars_hour(spark, sf)), WEIGHTS)
+    fused = staged(fusion.combined(ind.indicator_signals(bars_hour(spark, sf)), WEIGHTS))
     out = fusion.hysteresis(fused, 0.2, 0.0)
     return rounded(out.select("market", "ticker", "ts", "weight"), 6)
 
@@ -353,14 +354,14 @@ def flt3(spark, sf):
 
 @query("jn1_forward_return", sql("fwd", "SELECT market, ticker, d, round(fwd, 8) + 0.0 AS fwd FROM fwd"))
 def jn1(spark, sf):
-    bars = bars_day(spark, sf)
+    bars = staged(bars_day(spark, sf))
     cal = calendar(bars)
     out = ic.forward_returns(bars, cal, H).join(cal, ["market", "i"])
     return rounded(out.select("market", "ticker", "d", "fwd"))
 
 
 def _rows(spark, sf, names=("momentum_3_1",), windows=None, allowed=None):
-    return ic.cross_sections(bars_day(spark, sf), list(names), windows, H, allowed=allowed)
+    return ic.cross_sections(staged(bars_day(spark, sf)), list(names), windows, H, allowed=allowed)
 
 
 @query("ag9_pearson_ic", sql("ics_all", "SELECT market, d, n, round(ic, 8) + 0.0 AS ic FROM ics_all"))
@@ -383,10 +384,8 @@ rank() OVER (PARTITION BY market, d ORDER BY greatest(lo, least(hi, fwd))) + (co
 FROM fwd JOIN q USING (market, d)"""),
 )
 def ag11(spark, sf):
-    bars = bars_day(spark, sf)
+    bars = staged(bars_day(spark, sf))
     cal = calendar(bars)
-    from barquet.session import staged
-
     rows_ = staged(ic.forward_returns(bars, cal, H).join(cal, ["market", "i"]).select("market", "d", "ticker", "fwd"))
     return rounded(ic.winsorised(rows_, ["market", "d"], "fwd", 0.1))
 
@@ -400,7 +399,7 @@ def ag12(spark, sf):
 
 @query("ag13_signal_scan", sql("ics_split", summary_sql("ics_split", "dec_split", SCAN)))
 def ag13(spark, sf):
-    bars = bars_day(spark, sf)
+    bars = staged(bars_day(spark, sf))
     return rounded(ic.signal_scan(bars, SCAN, ic.chronological_split(bars), H, min_cross_section=XS))
 
 
@@ -417,7 +416,7 @@ define("ics_reg", ics_sql("rows_reg"), ("rows_reg",))
 
 @query("flt7_regime_filter", sql("ics_reg", summary_sql("ics_reg", "dec_reg", ["reversal_5"])))
 def flt7(spark, sf):
-    bars = bars_day(spark, sf)
+    bars = staged(bars_day(spark, sf))
     series = macro_long(spark, sf)
     mean = series.agg(F.avg("val").alias("m"))
     known = series.crossJoin(F.broadcast(mean)).select("d", F.struct("val", "m").alias("v"))  # one row

@@ -5,6 +5,6 @@ from barquet.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cores="8", partitions=4, app="barquet-tests")
+    session = local_session(cores="8", partitions=2, app="barquet-tests")
     yield session
     session.stop()
