@@ -9,6 +9,7 @@ from barquet.functions import extension as ext
 from barquet.functions import indicators as ind
 from barquet.functions import signals as sg
 from barquet.operators import quality as qa
+from barquet.operators.ic import pearson
 from barquet.plans.q_ingest import _counts
 from barquet.plans.q_ledger import ID, IDS, fills
 from barquet.plans.q_signals import BYH, hrows
@@ -91,6 +92,15 @@ def ud5(spark, sf):
     return rounded(model(fills(spark, sf)).select(*ID, "cost"))
 
 
+@query(
+    "ud6_correlation",
+    sql("bars", """SELECT market, ticker, count(*) AS n, CASE WHEN stddev_pop(open) > 0 AND stddev_pop(close) > 0 THEN round(corr(open, close), 8) + 0.0 END AS corr FROM bars GROUP BY market, ticker"""),
+)
+def ud6(spark, sf):
+    out = bars_day(spark, sf).groupBy("market", "ticker").agg(F.count(F.lit(1)).alias("n"), pearson("open", "close").alias("corr"))
+    return rounded(out)
+
+
 LONG = " UNION ALL ".join(
     f"SELECT market, ticker, '{code}' AS code, '{severity}' AS severity, {code} AS count FROM qcounts WHERE {code} > 0"
     for code, severity in qa.SEVERITY.items()

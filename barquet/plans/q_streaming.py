@@ -48,7 +48,15 @@ def str2(spark, sf):
     return rounded(out.filter("score IS NOT NULL"), 6)
 
 
-@query("str3_streaming_ranges")
+@query(
+    "str3_streaming_ranges",
+    sql("hh", """, tr AS (SELECT market, ticker, ts, pos, close / pc - 1 AS r, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr FROM hh),
+w AS (SELECT *, avg(tr) OVER (PARTITION BY market, ticker ORDER BY pos ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS seed FROM tr)
+SELECT market, ticker, ts, round(CASE WHEN pos >= 14 THEN atr END, 6) AS atr, round(var, 6) AS var FROM (
+ WITH RECURSIVE g AS (SELECT market, ticker, ts, pos, seed AS atr, NULL::DOUBLE AS var FROM w WHERE pos = 1
+ UNION ALL SELECT w.market, w.ticker, w.ts, w.pos, CASE WHEN w.pos <= 14 THEN w.seed ELSE (g.atr * 13 + w.tr) / 14 END, CASE WHEN w.pos = 2 THEN w.r * w.r ELSE 0.94 * g.var + (1 - 0.94) * w.r * w.r END
+ FROM g JOIN w ON w.market = g.market AND w.ticker = g.ticker AND w.pos = g.pos + 1) SELECT * FROM g)"""),
+)
 def str3(spark, sf):
     return rounded(drain_to_table(state.ranges(_bar_stream(spark, sf)), "ranges"), 6)
 
