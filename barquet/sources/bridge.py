@@ -35,6 +35,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
         nation_market("s_nationkey").alias("market"),
         nation_ticker("s_nationkey").alias("ticker"),
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("supplier"),
+        F.col("s_nationkey").alias("nation"),
         F.to_date("l_shipdate").alias("d"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"),
         F.col("l_quantity").alias("qty"),
@@ -48,28 +49,36 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _to_bars(trades: DataFrame, ticker: str) -> DataFrame:
-    return (
-        trades.groupBy("market", F.col(ticker).alias("ticker"), "d")
-        .agg(
-            F.min_by("px", "k").alias("open"),
-            F.max("px").alias("high"),
-            F.min("px").alias("low"),
-            F.max_by("px", "k").alias("close"),
-            F.sum("qty").cast("long").alias("volume"),
-        )
-        .withColumn("currency", market_currency())
+def _to_bars(trades: DataFrame, *keys: str) -> DataFrame:
+    """OHLCV per key and day. Integer keys: the aggregation sorts, and names follow from them."""
+    return trades.groupBy(*keys, "d").agg(
+        F.min_by("px", "k").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "k").alias("close"),
+        F.sum("qty").cast("long").alias("volume"),
     )
 
 
+BAR_COLUMNS = ("d", "open", "high", "low", "close", "volume")
+
+
 def bars_day(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per nation."""
-    return _to_bars(lines(spark, sf), "ticker")
+    bars = _to_bars(lines(spark, sf), "nation")
+    return bars.select(
+        nation_market("nation").alias("market"), nation_ticker("nation").alias("ticker"), *BAR_COLUMNS
+    ).withColumn("currency", market_currency())
 
 
 def bars_day_s(spark: SparkSession, sf: str) -> DataFrame:
     """Daily bars per supplier: a wider cross-section."""
-    return _to_bars(lines(spark, sf), "supplier")
+    bars = _to_bars(lines(spark, sf), "l_suppkey", "nation")
+    return bars.select(
+        nation_market("nation").alias("market"),
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
+        *BAR_COLUMNS,
+    ).withColumn("currency", market_currency())
 
 
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
