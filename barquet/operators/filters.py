@@ -32,10 +32,8 @@ def weekdays(spans: DataFrame, start: str = "start", end: str = "end", out: str
 def stale_symbols(bars: DataFrame, max_days: int) -> DataFrame:
     """Last bar per symbol and whether it lags the newest last bar of all symbols by more than max_days."""
     last = bars.groupBy(*SYMBOL).agg(F.max("d").alias("last_date"))
-    newest = bars.agg(F.max("d").alias("newest"))  # one row
-    return last.crossJoin(F.broadcast(newest)).select(
-        *SYMBOL, "last_date", (F.datediff("newest", "last_date") > max_days).alias("stale")
-    )
+    newest = bars.agg(F.max("d")).scalar()
+    return last.select(*SYMBOL, "last_date", (F.datediff(newest, "last_date") > max_days).alias("stale"))
 
 
 SIGNAL_RULES: Mapping[str, str] = {

@@ -32,10 +32,13 @@ def cash_flow(fills: DataFrame, rates: Mapping[str, float] = FX) -> DataFrame:
 def apply_fills(
     fills: DataFrame, order: Sequence[str] = ("d", "k"), initial_cash: float = 0.0, rates: Mapping[str, float] = FX
 ) -> DataFrame:
-    """Cash and position after each fill, by running sums in fill order."""
+    """Cash and position after each fill, by running sums in fill order.
+
+    An account is the largest key there is; blocks of one day keep its fills in many tasks.
+    """
     flows = cash_flow(fills, rates)
     cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1))
-    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order)
+    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order, width=1)
     return held.withColumn("cash_krw", F.lit(initial_cash) + F.col("_c")).drop("_c", "flow_krw", "delta_qty")
 
 

@@ -418,8 +418,8 @@ define("ics_reg", ics_sql("rows_reg"), ("rows_reg",))
 def flt7(spark, sf):
     bars = staged(bars_day(spark, sf))
     series = macro_long(spark, sf)
-    mean = series.agg(F.avg("val").alias("m"))
-    known = series.crossJoin(F.broadcast(mean)).select("d", F.struct("val", "m").alias("v"))  # one row
+    mean = series.agg(F.avg("val")).scalar()
+    known = series.withColumn("m", mean).select("d", F.struct("val", "m").alias("v"))
     state = as_of_series(calendar(bars), known)
     allowed = state.filter("v.val > v.m").select("market", "d")
     return rounded(ic.signal_scan(bars, ["reversal_5"], ic.whole_span(bars), H, min_cross_section=XS, allowed=allowed))

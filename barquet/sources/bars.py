@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from barquet.schemas import BARS_AT_REST
+from barquet import schemas
 
 
 def parse_bars(raw: DataFrame) -> DataFrame:
@@ -14,12 +15,23 @@ def parse_bars(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ts", F.to_timestamp(zoned)).withColumn("d", F.to_date("ts"))
 
 
-def load_bars(spark: SparkSession, path: str, market: str | None = None) -> DataFrame:
-    """Read a bars folder; ``market`` prunes the partitions that are not wanted."""
-    raw = spark.read.schema(BARS_AT_REST).parquet(path)
+def load_bars(
+    spark: SparkSession, path: str, market: str | None = None, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Read a bars folder. ``market`` and the half-open window [start, end) prune its partitions."""
+    raw = spark.read.schema(T.StructType([*schemas.BARS_AT_REST.fields, T.StructField("year", T.IntegerType())])).parquet(path)
     if market is not None and market != "ALL":
         raw = raw.filter(F.col("market") == market)
-    return parse_bars(raw)
+    if start is not None:
+        raw = raw.filter(F.col("year") >= int(start[:4]))
+    if end is not None:
+        raw = raw.filter(F.col("year") <= int(end[:4]))
+    bars = parse_bars(raw.drop("year"))
+    if start is not None:
+        bars = bars.filter(F.col("d") >= F.lit(start).cast("date"))
+    if end is not None:
+        bars = bars.filter(F.col("d") < F.lit(end).cast("date"))
+    return bars
 
 
 def to_rest(bars: DataFrame) -> DataFrame:
@@ -29,9 +41,13 @@ def to_rest(bars: DataFrame) -> DataFrame:
     named = bars.withColumn("ts", iso)
     if "timeframe" not in named.columns:
         named = named.withColumn("timeframe", F.lit("1d"))
-    return named.select(*[F.col(f.name).cast(f.dataType) for f in BARS_AT_REST.fields])
+    return named.select(*[F.col(f.name).cast(f.dataType) for f in schemas.BARS_AT_REST.fields])
 
 
 def save_bars(bars: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write bars partitioned by market, so a market's panel is read without the others."""
-    to_rest(bars).write.mode(mode).partitionBy("market").parquet(path)
+    """Write bars partitioned by market and year, so a panel or a window is read without the rest.
+
+    The rows are rebalanced by partition first: few files per folder, and a large folder is split.
+    """
+    dated = to_rest(bars).withColumn("year", F.substring("ts", 1, 4).cast("int"))
+    dated.hint("rebalance", "market", "year").write.mode(mode).partitionBy("market", "year").parquet(path)

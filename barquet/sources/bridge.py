@@ -149,9 +149,9 @@ def macro(spark: SparkSession, sf: str) -> DataFrame:
 def macro_long(spark: SparkSession, sf: str) -> DataFrame:
     """The macro series stretched over the years of the daily bars: one observation every 80 days."""
     series = macro(spark, sf)
-    first = series.agg(F.min("d").alias("d0"))
-    moved = F.date_add(F.lit("1995-01-02").cast("date"), F.datediff("d", "d0") * 80)
-    return series.crossJoin(F.broadcast(first)).select(moved.alias("d"), "val")  # one row
+    first = series.agg(F.min("d")).scalar()
+    moved = F.date_add(F.lit("1995-01-02").cast("date"), F.datediff("d", first) * 80)
+    return series.select(moved.alias("d"), "val")
 
 
 CALM = 0.03
@@ -203,12 +203,12 @@ def duration_points(spark: SparkSession, sf: str) -> DataFrame:
 def news(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as news items of the event types."""
     docs = table(spark, sf, "documents")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))
+    total = docs.agg(F.count(F.lit(1))).scalar()
     kinds = table(spark, sf, "events").select("event_type").distinct().agg(
-        F.array_sort(F.collect_set("event_type")).alias("kinds")
-    )
+        F.array_sort(F.collect_list("event_type"))
+    ).scalar()
     return (
-        docs.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(kinds))  # one row each
+        docs.withColumn("n", total).withColumn("kinds", kinds)
         .select(
             F.col("doc_id").cast("string").alias("id"),
             F.get("kinds", F.pmod(F.length("source") + F.ascii(F.reverse("source")), F.size("kinds"))).alias("ticker"),
@@ -225,8 +225,8 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
 def funding(spark: SparkSession, sf: str) -> DataFrame:
     """Funding ticks of five coins from events: epoch milliseconds and a signed rate."""
     events = table(spark, sf, "events")
-    mean = events.agg(F.round(F.avg("value"), 6).alias("m"))
-    return events.crossJoin(F.broadcast(mean)).select(
+    mean = events.agg(F.round(F.avg("value"), 6)).scalar()
+    return events.withColumn("m", mean).select(
         F.col("event_type").alias("coin"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("epoch_ms"),
         ((F.col("value") - F.col("m")) / 1000.0).alias("rate"),

@@ -1,7 +1,8 @@
 """Keyed state per symbol: bounded windows of closes, ATR and EWMA scalars, last close.
 
 State per key is of fixed size, so a symbol of any length costs the same. Rows of one batch are
-put in time order per symbol; a bar not newer than the last one seen is late and is dropped.
+put in time order per symbol; a bar not newer than the last one seen is late and is dropped. Size
+the batches with ``read_table(..., files_per_batch=n)``: a task holds one symbol's rows of a batch.
 """
 
 from __future__ import annotations

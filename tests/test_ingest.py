@@ -29,6 +29,10 @@ def test_bars_round_trip_and_naive_times(spark, tmp_path):
     rest.save_bars(bars, str(tmp_path / "bars"))
     back = rest.load_bars(spark, str(tmp_path / "bars"))
     assert back.count() == 3 and rest.load_bars(spark, str(tmp_path / "bars"), "KOSPI").count() == 1
+    window = rest.load_bars(spark, str(tmp_path / "bars"), start="2020-01-02", end="2020-01-03")
+    assert [(r["ticker"], r["d"]) for r in window.collect()] == [("A", day(1))]
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
     assert set(schemas.BARS_AT_REST.fieldNames()) <= set(back.columns)
     raw = spark.createDataFrame([("2024-01-02T00:00:00",), ("2024-01-02T09:00:00+09:00",), ("2024-01-02T00:00:00Z",)], "ts string")
     assert rest.parse_bars(raw).select("ts").distinct().count() == 1
