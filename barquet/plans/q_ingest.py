@@ -428,7 +428,7 @@ LEFT JOIN (SELECT market, ticker, count(*) AS runs FROM (SELECT market, ticker,
 def _quality_input(spark, sf):
     rows = staged(cleaning.without_gaps(corrupted_bars(spark, sf)))
     extra = table(spark, sf, "region").select(F.lit("NASDAQ").alias("market"), F.concat(F.lit("X"), "r_regionkey").alias("ticker"))
-    names = lines(spark, sf).select("market", "ticker").distinct().unionByName(extra)
+    names = rows.select("market", "ticker").distinct().unionByName(extra)
     return rows, names
 
 
