@@ -12,7 +12,7 @@ from barquet.operators import quality as qa
 from barquet.operators.ic import pearson
 from barquet.plans.q_ingest import _counts
 from barquet.plans.q_ledger import ID, IDS, fills
-from barquet.plans.q_signals import BYH, hrows
+from barquet.plans.q_signals import hrows
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import with_views as sql
 from barquet.sources.bridge import bars_day, bars_hour

@@ -33,8 +33,13 @@ define(
 FROM (SELECT market, d, r, product(1 + r) OVER (PARTITION BY market ORDER BY d) AS equity FROM dew)""",
     ("dew",),
 )
+def _closes(spark, sf):
+    """Daily closes, written once: calendar and both ends of a return read them."""
+    return staged(bars_day(spark, sf).select("market", "ticker", "d", "close"))
+
+
 def _ew(spark, sf):
-    raw = staged(rt.equal_weight_returns(bars_day(spark, sf)))
+    raw = staged(rt.equal_weight_returns(_closes(spark, sf)))
     mean = raw.groupBy("market").agg(F.round(F.avg("r"), 6).alias("m"))
     return staged(raw.join(mean, "market").select("market", "d", ((F.col("r") - F.col("m")) * 0.01 + 0.0003).alias("r")))
 
@@ -60,7 +65,7 @@ def jn13(spark, sf):
 
 @query("ag14_equal_weight_returns", sql("ew", "SELECT market, d, round(r, 8) AS r, n FROM ew"))
 def ag14(spark, sf):
-    return rounded(rt.equal_weight_returns(bars_day(spark, sf)))
+    return rounded(rt.equal_weight_returns(_closes(spark, sf)))
 
 
 @query("ag5_daily_metrics", sql("eq", f"SELECT market, {METRICS} FROM eq GROUP BY market"))
