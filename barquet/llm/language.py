@@ -7,7 +7,7 @@ more bytes than the winner, the prediction is marked as rejected.
 
 Defined results: a null, empty or letterless text is ``und`` with score 0 and is rejected; ties go
 to the language that sorts first and are rejected; with no labelled row at all every text is
-``und``; repeated rows count once per row. Extra columns are never read.
+``und`` and those with letters are not rejected; repeated rows count once per row. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -129,9 +129,9 @@ def identify(
     @F.pandas_udf("lang string, score double, margin double, rejected boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         sizes = size_reader(contents)
-        nothing = (UNKNOWN, 0.0, 0.0, True)
+        nothing, unlearned = (UNKNOWN, 0.0, 0.0, True), (UNKNOWN, 0.0, 0.0, False)
         for batch in batches:
-            rows = [judge(names, sizes(t), min_margin) if names and t.strip() else nothing for t in batch]
+            rows = [(judge(names, sizes(t), min_margin) if names else unlearned) if t.strip() else nothing for t in batch]
             yield pd.DataFrame(rows, columns=["lang", "score", "margin", "rejected"])
 
     return docs.withColumn(out, predict(letters(text)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, simhash
+from . import language, mixing, packing, secrets, simhash
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,30 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("language.margin").alias("margin"),
         F.col("language.rejected").alias("rejected"),
     )
+
+
+#: Production weights of the demonstration tree.
+MIX = mixing.Plan(
+    weights={"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 6, "fr": 2, "de": 2, "es": 1}},
+    share_percent=100,
+    epochs=4,
+    seed=7,
+)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), MIX)
+
+
+ORACLES["op10_mixing"] = mixing.oracle(MIX)
+
+
+@query
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
