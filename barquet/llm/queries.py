@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, kdtree, language, mixing, packing, secrets, simhash
+from . import crosspolytope, kdtree, language, mixing, packing, quality, secrets, simhash
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,14 @@ def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 3) == 1
+    machine = quality.learn(
+        docs, table(spark, sf_dir, "labels"), metadata=("n_chars",), train_rows=~held_out
+    )
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(machine, "text", ("n_chars",)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
