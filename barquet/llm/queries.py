@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, kdtree, language, mixing, packing, quality, secrets, simhash
+from . import crosspolytope, extraction, kdtree, language, mixing, packing, quality, secrets, simhash
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(machine, "text", ("n_chars",)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    net = extraction.learn(pages)
+    found = extraction.extract(pages.select("page_id", "url", "html"), net)
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
