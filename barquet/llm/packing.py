@@ -210,11 +210,13 @@ def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer:
         packer = Packer(ends, starts, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for key, body in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                done = packer.add(None if key is None or key != key else int(key), encode(body))
+                done = packer.add(None if key is None else int(key), encode(body))
                 if done is not None:
                     yield done
         done = packer.finish()
         if done is not None:
             yield done
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text")).mapInPandas(run, PIECES)
+    # as text, so that a null among the ids does not turn the others into floats
+    key = F.col(doc_id).cast("long").cast("string").alias("doc_id")
+    return docs.select(key, whole(text).alias("text")).mapInPandas(run, PIECES)

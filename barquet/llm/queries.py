@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, extraction, kdtree, language, mixing, packing, quality, secrets, simhash
+from . import crosspolytope, extraction, kdtree, language, mixing, packing, quality, secrets, simhash, suffixdedup
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = extraction.learn(pages)
     found = extraction.extract(pages.select("page_id", "url", "html"), net)
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
