@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.functions.signals import signals_long, signals_wide
 from barquet.operators.returns import calendar
-from barquet.operators.scan import GROUP_LIMIT, largest_group, linear_quantiles, value_ranks
+from barquet.operators.scan import linear_quantiles, value_ranks
 from barquet.session import staged
 
 
+# Least cross-sections of the scan over the whole zoo.
+ZOO_CROSS_SECTION = {"NASDAQ": 30, "KOSPI": 20}
+
+
 def chronological_split(
     bars: DataFrame, train: float = 0.5, validation: float = 0.25, holdout: float = 0.25, panel: Sequence[str] = ("market",)
 ) -> DataFrame:
@@ -182,22 +186,31 @@ def winsorised(rows: DataFrame, group: Sequence[str], value: str, pct: float, bo
     )
 
 
+def least_size(sizes: int | Mapping[str, int], market: str = "market") -> Column:
+    if isinstance(sizes, int):
+        return F.lit(sizes)
+    out = F.lit(max(sizes.values()))
+    for name, n in sizes.items():
+        out = F.when(F.col(market) == name, n).otherwise(out)
+    return out
+
+
 def information_coefficients(
-    rows: DataFrame, group: Sequence[str] = ("signal", "market", "split", "d"), min_cross_section: int = 20,
-    winsorize: float = 0.01,
+    rows: DataFrame, group: Sequence[str] = ("signal", "market", "split", "d"),
+    min_cross_section: int | Mapping[str, int] = 20, winsorize: float = 0.01,
 ) -> DataFrame:
     """Per group: size, IC and rank IC against the winsorised forward return.
 
     ``ic`` and ``rank_ic`` are NULL for a degenerate cross-section; small ones are left out.
+    ``min_cross_section`` is one number, or one per market (others: the largest of them).
     """
     group = list(group)
     rows = staged(rows)
-    bounded = largest_group(rows, group) <= GROUP_LIMIT
-    both = average_ranks(winsorised(rows, group, "fwd", winsorize, bounded), group, "score", "score_rank", bounded)
+    both = average_ranks(winsorised(rows, group, "fwd", winsorize), group, "score", "score_rank")
     ic, rank_ic = pearson("score", "fwd_w"), pearson("score_rank", "fwd_rank")
     out = both.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), ic.alias("ic"), rank_ic.alias("rank_ic"))
     sound = F.col("ic").isNotNull() & F.col("rank_ic").isNotNull()
-    return out.filter(F.col("n") >= min_cross_section).select(
+    return out.filter(F.col("n") >= least_size(min_cross_section)).select(
         *group, "n", F.when(sound, F.col("ic")).alias("ic"), F.when(sound, F.col("rank_ic")).alias("rank_ic")
     )
 
@@ -231,9 +244,18 @@ def ic_summary(
 
 def signal_scan(
     bars: DataFrame, names: Sequence[str], windows: DataFrame, horizon: int = 21, spacing: int | None = None,
-    min_cross_section: int = 20, winsorize: float = 0.01, allowed: DataFrame | None = None,
+    min_cross_section: int | Mapping[str, int] = 20, winsorize: float = 0.01, allowed: DataFrame | None = None,
+    survivor: str | None = None,
 ) -> DataFrame:
-    """IC summary of every signal in every market and window, in one grouped pass."""
+    """IC summary of every signal in every market and window, in one grouped pass.
+
+    The holdout stays locked: windows of that name are left out, unless ``survivor`` names the one
+    signal that was chosen on the others; then it alone is scored there.
+    """
+    if survivor is None:
+        windows = windows.filter("split <> 'holdout'")
+    else:
+        names, windows = [survivor], windows.filter("split = 'holdout'")
     rows, decisions = cross_sections(bars, names, windows, horizon, spacing, allowed=allowed)
     ics = information_coefficients(rows, min_cross_section=min_cross_section, winsorize=winsorize)
     return ic_summary(ics, decisions, names)

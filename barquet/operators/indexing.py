@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barquet.operators.returns import compounded
+from barquet.operators.returns import compounded, daily_metrics
 from barquet.operators.scan import discounted_sum, framed, with_position
 
 LAMBDA = 0.94
@@ -84,6 +84,29 @@ def managed_index(
     return joined.withColumn("exposure", exposure).withColumn("r_strat", F.col("exposure") * F.col(r))
 
 
+def index_report(
+    daily: DataFrame, keys: Sequence[str] = ("market",), order: str = "d", r: str = "r", r_strat: str = "r_strat",
+    min_days: int = 30,
+) -> DataFrame:
+    """Metrics of a managed index and, as ``bench_...``, of holding it unmanaged, with its exposure.
+
+    A series of fewer than ``min_days`` returns is an error.
+    """
+    keys = list(keys)
+    metrics = lambda value: daily_metrics(daily.select(*keys, order, F.col(value).alias("r")), keys=keys)
+    bench = metrics(r)
+    for c in [c for c in bench.columns if c not in keys]:
+        bench = bench.withColumnRenamed(c, f"bench_{c}")
+    use = daily.groupBy(*keys).agg(
+        F.avg("exposure").alias("avg_exposure"),
+        F.avg(F.when(F.col("in_market"), 1.0).otherwise(0.0)).alias("time_in_market"),
+        F.max_by("exposure", order).alias("latest_exposure"),
+    )
+    short = F.raise_error(F.format_string("%d returns; a report needs at least %d", "n_days", F.lit(min_days)))
+    checked = F.when(F.col("n_days") < min_days, short.cast("long")).otherwise(F.col("n_days"))
+    return metrics(r_strat).join(bench, keys).join(use, keys).withColumn("n_days", checked)
+
+
 def latest_exposure(
     returns: DataFrame, target: float = 0.15, window: int | None = 200, max_leverage: float = 1.0,
     r: str = "r", keys: Sequence[str] = ("market",), order: str = "d",

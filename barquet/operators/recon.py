@@ -141,7 +141,7 @@ def decision_records(
     )
 
 
-def decision_hash(records: DataFrame, leave_out: Sequence[str] = ("run_id", "outcome", "hash")) -> DataFrame:
+def decision_hash(records: DataFrame, leave_out: Sequence[str] = ("run_id", "outcome", "hash", "seq")) -> DataFrame:
     """Content hash of each record without the run id and the outcome."""
     kept = [c for c in records.columns if c not in leave_out]
     ordered = records
@@ -151,13 +151,22 @@ def decision_hash(records: DataFrame, leave_out: Sequence[str] = ("run_id", "out
     return ordered.withColumn("hash", canonical_hash(kept))
 
 
-def journal_upsert(journal: DataFrame, records: DataFrame) -> DataFrame:
-    """Verdict per record: append, skip (same key and hash) or conflict (same key, other hash)."""
-    known = journal.select("key", F.col("hash").alias("_known")).distinct()
-    return records.join(known, "key", "left").withColumn(
+def journal_upsert(journal: DataFrame, records: DataFrame, seq: str = "seq") -> DataFrame:
+    """Verdict per record, as if the records came one by one in the order of ``seq``.
+
+    append (new key), skip (the key's hash is already there) or conflict (the key has another hash).
+    A key's first record decides what later ones of the batch are compared with. A journal that
+    holds two hashes for a key counts with the smaller one.
+    """
+    known = journal.groupBy("key").agg(F.min("hash").alias("_known"))
+    first = records.groupBy("key").agg(F.min_by("hash", seq).alias("_first"), F.min(seq).alias("_at"))
+    against = F.coalesce("_known", "_first")
+    return records.join(first, "key").join(known, "key", "left").withColumn(
         "verdict",
-        F.when(F.col("_known").isNull(), "append").when(F.col("_known") == F.col("hash"), "skip").otherwise("conflict"),
-    ).drop("_known")
+        F.when(F.col("_known").isNull() & (F.col(seq) == F.col("_at")), "append")
+        .when(against == F.col("hash"), "skip")
+        .otherwise("conflict"),
+    ).drop("_known", "_first", "_at")
 
 
 def next_open_fills(orders: DataFrame, bars: DataFrame, order: str = "ts") -> DataFrame:

@@ -226,15 +226,6 @@ def discounted_sum(
     return df.join(carried, [*keys, "_c"]).withColumn(out, value).drop("_c", "_j", "_s")
 
 
-GROUP_LIMIT = 200_000
-
-
-def largest_group(df: DataFrame, group: Sequence[str]) -> int:
-    """Rows of the largest group; one partial aggregation over a staged table."""
-    top = df.groupBy(*group).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
 def value_ranks(
     df: DataFrame, group: Sequence[str], value: str, bounded: bool = False, splits: int = 31
 ) -> DataFrame:

@@ -211,21 +211,15 @@ def rn2(spark, sf):
     sql("managed", f""", e AS (SELECT market, d, r_strat AS r, product(1 + r_strat) OVER (PARTITION BY market ORDER BY d) AS equity FROM managed),
 p AS (SELECT *, max(equity) OVER (PARTITION BY market ORDER BY d) AS peak FROM e),
 x AS (SELECT market, round(avg(exposure), 8) AS avg_exposure, round(avg(CASE WHEN in_market THEN 1.0 ELSE 0.0 END), 8) AS time_in_market,
-  round(arg_max(exposure, d), 8) AS latest_exposure, round(product(1 + r), 8) AS bench_equity FROM managed GROUP BY market)
-SELECT s.*, x.avg_exposure, x.time_in_market, x.latest_exposure, x.bench_equity
-FROM (SELECT market, {METRICS} FROM p GROUP BY market) s JOIN x USING (market)"""),
+  round(arg_max(exposure, d), 8) AS latest_exposure FROM managed GROUP BY market),
+be AS (SELECT market, d, r, product(1 + r) OVER (PARTITION BY market ORDER BY d) AS equity FROM managed),
+bp AS (SELECT *, max(equity) OVER (PARTITION BY market ORDER BY d) AS peak FROM be)
+SELECT s.*, x.avg_exposure, x.time_in_market, x.latest_exposure, b.n_days AS bench_n_days, b.cagr AS bench_cagr, b.ann_vol AS bench_ann_vol,
+b.sharpe AS bench_sharpe, b.max_drawdown AS bench_max_drawdown, b.final_equity AS bench_final_equity
+FROM (SELECT market, {METRICS} FROM p GROUP BY market) s JOIN x USING (market) JOIN (SELECT market, {METRICS} FROM bp GROUP BY market) b USING (market)"""),
 )
 def rn3(spark, sf):
-    daily = ix.managed_index(_ew(spark, sf), 0.12, window=200)
-    keys = ["market"]
-    strat = rt.daily_metrics(daily.select("market", "d", F.col("r_strat").alias("r")))
-    extra = daily.groupBy(*keys).agg(
-        F.avg("exposure").alias("avg_exposure"),
-        F.avg(F.when(F.col("in_market"), 1.0).otherwise(0.0)).alias("time_in_market"),
-        F.max_by("exposure", "d").alias("latest_exposure"),
-        F.exp(F.sum(F.log1p("r"))).alias("bench_equity"),
-    )
-    return rounded(strat.join(extra, keys))
+    return rounded(ix.index_report(staged(ix.managed_index(_ew(spark, sf), 0.12, window=200))))
 
 
 @query(

@@ -423,7 +423,7 @@ def jn9(spark, sf):
 @query(
     "jn10_reconcile_positions",
     sql("lines", """, x AS (SELECT ticker, p_brand AS brand, CASE WHEN l_returnflag = 'R' THEN -qty ELSE qty END AS q, l_linestatus FROM lines JOIN part ON p_partkey = l_partkey),
-e AS (SELECT ticker, brand, sum(q) AS q FROM x WHERE brand <> 'Brand#1' GROUP BY ALL), b AS (SELECT ticker, brand, sum(q) AS q FROM x WHERE l_linestatus = 'F' GROUP BY ALL)
+e AS (SELECT ticker, brand, sum(CASE WHEN brand = 'Brand#1' THEN q + 1 ELSE q END) AS q FROM x GROUP BY ALL), b AS (SELECT ticker, brand, sum(CASE WHEN l_linestatus = 'F' THEN q ELSE q - 1 END) AS q FROM x GROUP BY ALL)
 SELECT ticker, brand, CAST(coalesce(e.q, 0) AS BIGINT) AS expected, CAST(coalesce(b.q, 0) AS BIGINT) AS reported, CAST(coalesce(b.q, 0) - coalesce(e.q, 0) AS BIGINT) AS drift
 FROM e FULL JOIN b USING (ticker, brand) WHERE coalesce(e.q, 0) <> coalesce(b.q, 0)"""),
 )
@@ -437,20 +437,21 @@ def jn10(spark, sf):
     def total(df):
         return df.groupBy("ticker", "brand").agg(F.sum("q").cast("long").alias("qty"))
 
-    return recon.reconcile_positions(
-        total(rows.filter("brand <> 'Brand#1'")), total(rows.filter("l_linestatus = 'F'")), ["ticker", "brand"]
-    )
+    # differences come from edited quantities; every line counts on both sides
+    expected = rows.withColumn("q", F.when(F.col("brand") == "Brand#1", F.col("q") + 1).otherwise(F.col("q")))
+    reported = rows.withColumn("q", F.when(F.col("l_linestatus") == "F", F.col("q")).otherwise(F.col("q") - 1))
+    return recon.reconcile_positions(total(expected), total(reported), ["ticker", "brand"])
 
 
 @query(
     "st2_union_of_symbols",
-    sql("bars", """SELECT market, ticker, bool_or(d < DATE '1996-01-01') AS was, bool_or(d >= DATE '2000-06-01') AS is_now FROM bars
-WHERE volume > 90 AND (d < DATE '1996-01-01' OR d >= DATE '2000-06-01') GROUP BY market, ticker"""),
+    sql("bars", """SELECT market, ticker, bool_or(d < DATE '1996-01-01') AS was, bool_or(d >= DATE '1996-01-01') AS is_now FROM bars
+GROUP BY market, ticker"""),
 )
 def st2(spark, sf):
-    bars = bars_day(spark, sf).filter("volume > 90")
+    bars = bars_day(spark, sf)
     was = bars.filter("d < DATE '1996-01-01'").select("market", "ticker").distinct().withColumn("was", F.lit(True))
-    now = bars.filter("d >= DATE '2000-06-01'").select("market", "ticker").distinct().withColumn("is_now", F.lit(True))
+    now = bars.filter("d >= DATE '1996-01-01'").select("market", "ticker").distinct().withColumn("is_now", F.lit(True))
     both = was.join(now, ["market", "ticker"], "full_outer")
     return both.select("market", "ticker", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("is_now", F.lit(False)).alias("is_now"))
 
@@ -558,11 +559,11 @@ def ag26(spark, sf):
 @query(
     "jn14_next_open_fill",
     sql("hours", """SELECT market, ticker, ts, side, round(fill_price, 6) AS fill_price, fill_time FROM (SELECT market, ticker, ts, CASE WHEN close > open THEN 'BUY' ELSE 'SELL' END AS side,
-lead(open) OVER (PARTITION BY market, ticker ORDER BY ts) AS fill_price, lead(ts) OVER (PARTITION BY market, ticker ORDER BY ts) AS fill_time, hour(ts) AS h FROM hours) WHERE h % 4 = 1 AND fill_price IS NOT NULL"""),
+lead(open) OVER (PARTITION BY market, ticker ORDER BY ts) AS fill_price, lead(ts) OVER (PARTITION BY market, ticker ORDER BY ts) AS fill_time FROM hours) WHERE fill_price IS NOT NULL"""),
 )
 def jn14(spark, sf):
     bars = bars_hour(spark, sf)
-    orders = bars.filter(F.hour("ts") % 4 == 1).select("market", "ticker", "ts", F.when(F.col("close") > F.col("open"), "BUY").otherwise("SELL").alias("side"))
+    orders = bars.select("market", "ticker", "ts", F.when(F.col("close") > F.col("open"), "BUY").otherwise("SELL").alias("side"))
     return rounded(recon.next_open_fills(orders, bars), 6)
 
 
@@ -607,14 +608,21 @@ def sc14(spark, sf):
 
 @query(
     "sc15_journal_upsert",
-    sql("fused", RECORDS + "SELECT CASE WHEN hour(ts) % 3 = 0 THEN 'append' WHEN hour(ts) % 3 = 1 AND action <> 'HOLD' THEN 'conflict' ELSE 'skip' END AS verdict, key FROM rec"),
+    sql("fused", RECORDS + "SELECT CASE WHEN hour(ts) % 3 = 0 THEN 'append' WHEN hour(ts) % 3 = 1 AND action <> 'HOLD' THEN 'conflict' ELSE 'skip' END AS verdict, key, 1 AS seq FROM rec"
+        # a second record of the same key in the batch: unchanged, or with one more
+        " UNION ALL SELECT CASE WHEN hour(ts) % 3 = 1 AND action <> 'HOLD' THEN 'conflict' ELSE 'skip' END, key, 2 FROM rec WHERE hour(ts) % 5 = 0"
+        " UNION ALL SELECT CASE WHEN hour(ts) % 3 = 1 AND action <> 'HOLD' THEN 'skip' ELSE 'conflict' END, key, 2 FROM rec WHERE hour(ts) % 5 = 1"),
 )
 def sc15(spark, sf):
     new = _records(spark, sf, "r1")
     old = new.withColumn("run_id", F.lit("r0"))
     changed = F.when((F.hour("ts") % 3 == 1) & (F.col("action") != "HOLD"), F.col("qty") + 1).otherwise(F.col("qty"))
     journal = recon.decision_hash(old.filter(F.hour("ts") % 3 != 0).withColumn("qty", changed))
-    return recon.journal_upsert(journal, recon.decision_hash(new)).select("verdict", "key")
+    more = F.when(F.hour("ts") % 5 == 1, F.col("qty") + 1).otherwise(F.col("qty"))
+    batch = new.withColumn("seq", F.lit(1)).unionByName(
+        new.filter(F.hour("ts") % 5 < 2).withColumn("qty", more).withColumn("seq", F.lit(2))
+    )
+    return rounded(recon.journal_upsert(journal, recon.decision_hash(batch)).select("verdict", "key", "seq"))
 
 
 @query(

@@ -277,7 +277,8 @@ def rn7(spark, sf):
 # ---- information coefficient -------------------------------------------------------------------
 
 H, XS = 21, 3
-SCAN = ["momentum_3_1", "reversal_5", "low_volatility_60", "max_lottery_21", "volume_trend"]
+SCAN = list(SIGNAL_SQL)
+LEAST = {"NASDAQ": 4, "KOSPI": 3}
 
 define(
     "fwd",
@@ -316,7 +317,7 @@ def icrows_sql(decisions: str, names) -> str:
     return f"SELECT * FROM ({scores}) WHERE score IS NOT NULL"
 
 
-def ics_sql(rows_: str, p: float = 0.01) -> str:
+def ics_sql(rows_: str, p: float = 0.01, least: str = str(XS)) -> str:
     return f"""SELECT signal, market, split, d, count(*) AS n,
 CASE WHEN stddev_pop(score) > 0 AND stddev_pop(fw) > 0 THEN corr(score, fw) END AS ic,
 CASE WHEN stddev_pop(score) > 0 AND stddev_pop(fw) > 0 THEN corr(rs, rf) END AS rank_ic FROM (
@@ -324,7 +325,7 @@ SELECT *, rank() OVER (g ORDER BY score) + (count(*) OVER (PARTITION BY signal,
  rank() OVER (g ORDER BY fw) + (count(*) OVER (PARTITION BY signal, market, split, d, fw) - 1) / 2.0 AS rf
 FROM (SELECT r.*, greatest(lo, least(hi, fwd)) AS fw FROM {rows_} r JOIN (SELECT signal, market, split, d, quantile_cont(fwd, {p}) AS lo,
  quantile_cont(fwd, {1 - p}) AS hi FROM {rows_} GROUP BY ALL) q USING (signal, market, split, d))
-WINDOW g AS (PARTITION BY signal, market, split, d)) GROUP BY signal, market, split, d HAVING count(*) >= {XS}"""
+WINDOW g AS (PARTITION BY signal, market, split, d)) GROUP BY signal, market, split, d HAVING count(*) >= {least}"""
 
 
 def summary_sql(ics: str, decisions: str, names) -> str:
@@ -337,11 +338,15 @@ LEFT JOIN {ics} i ON i.signal = p.signal AND i.market = p.market AND i.split = p
 
 
 define("dec_all", decisions_sql("spans"), ("cal", "spans"))
-define("dec_split", decisions_sql("splits"), ("cal", "splits"))
+define("dec_split", f"SELECT * FROM ({decisions_sql('splits')}) WHERE split <> 'holdout'", ("cal", "splits"))
 define("rows_all", icrows_sql("dec_all", ["momentum_3_1"]), ("dec_all", "fwd", "sig"))
 define("ics_all", ics_sql("rows_all"), ("rows_all",))
 define("rows_split", icrows_sql("dec_split", SCAN), ("dec_split", "fwd", "sig"))
-define("ics_split", ics_sql("rows_split"), ("rows_split",))
+define(
+    "ics_split",
+    ics_sql("rows_split", least=f"CASE market WHEN 'NASDAQ' THEN {LEAST['NASDAQ']} ELSE {LEAST['KOSPI']} END"),
+    ("rows_split",),
+)
 
 
 @query(
@@ -400,7 +405,7 @@ def ag12(spark, sf):
 @query("ag13_signal_scan", sql("ics_split", summary_sql("ics_split", "dec_split", SCAN)))
 def ag13(spark, sf):
     bars = staged(bars_day(spark, sf))
-    return rounded(ic.signal_scan(bars, SCAN, ic.chronological_split(bars), H, min_cross_section=XS))
+    return rounded(ic.signal_scan(bars, SCAN, ic.chronological_split(bars), H, min_cross_section=LEAST))
 
 
 define("rows_reg", icrows_sql("dec_reg", ["reversal_5"]), ("dec_reg", "fwd", "sig"))

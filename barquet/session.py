@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder.
+
+    A temporary folder serves only where driver and executors are one process (``local[n]``); on a
+    cluster without the setting it would be another folder on every machine, so that is an error.
+    What is written below the folder goes when the session ends.
+    """
     context = spark.sparkContext
-    configured = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
-    current = context.getCheckpointDir()
-    if current is None:
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="barquet-ckpt-"))
+    if context.getCheckpointDir() is None:
+        configured = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+        if not configured:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="barquet-ckpt-")
+        context.setCheckpointDir(configured)
+        path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
     return context.getCheckpointDir()
 
 

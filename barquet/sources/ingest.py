@@ -13,15 +13,33 @@ from barquet.operators.scan import SYMBOL
 STALE_DAYS = 5
 
 
-def new_rows(log: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows whose key the log does not hold yet: appending them twice is a no-op."""
-    return rows.join(log.select(*key).distinct(), list(key), "left_anti")
+SALTS = 64
+
+
+def new_rows(log: DataFrame, rows: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
+    """Rows whose key the log does not hold yet, one per key: appending them twice is a no-op.
+
+    Of several rows of one key the first by ``order`` comes in; without an order any one of them.
+    """
+    fresh = rows.join(log.select(*key).distinct(), list(key), "left_anti")
+    if order is None:
+        return fresh.dropDuplicates(list(key))
+    rest = [c for c in rows.columns if c not in key]
+    first = fresh.groupBy(*key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("w"))
+    return first.select(*key, "w.*").select(*rows.columns)
 
 
 def first_n(df: DataFrame, n: int, group: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
-    """The first n rows of each group; Spark keeps only n per task before it shuffles."""
+    """The first n rows of each group, in two steps: of every salted part, then of what these keep.
+
+    The final rank sees at most ``SALTS`` * n rows of a group. Salts steer balance only.
+    """
+    group = list(group)
+    salted = df.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    part = W.partitionBy(*group, "_salt").orderBy(*order)
+    some = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop("_salt", "_part")
     w = W.partitionBy(*group).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
+    return some.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
 
 
 def universe(listing: DataFrame, us: int = 503, kr: int = 200, order: str = "seq") -> DataFrame:
@@ -75,8 +93,8 @@ def members_as_of(bars: DataFrame, members: DataFrame) -> DataFrame:
     )
 
 
-def appendable(existing: DataFrame, fetched: DataFrame, today, seq: str | None = None) -> DataFrame:
-    """Finished bars newer than everything stored for their symbol, one per date."""
+def appendable(existing: DataFrame, fetched: DataFrame, today, seq: str) -> DataFrame:
+    """Finished bars newer than everything stored for their symbol; of one date the first by ``seq``."""
     keys = list(SYMBOL)
     newest = existing.groupBy(*keys).agg(F.max("d").alias("_max"))
     cut = F.lit(today).cast("date") if not isinstance(today, Column) else today
@@ -87,11 +105,10 @@ def appendable(existing: DataFrame, fetched: DataFrame, today, seq: str | None =
         .drop("_max")
     )
     rest = [c for c in fresh.columns if c not in (*keys, "d")]
-    order = F.col(seq) if seq else F.struct(*rest)
-    return fresh.groupBy(*keys, "d").agg(F.min_by(F.struct(*rest), order).alias("w")).select(*keys, "d", "w.*")
+    return fresh.groupBy(*keys, "d").agg(F.min_by(F.struct(*rest), F.col(seq)).alias("w")).select(*keys, "d", "w.*")
 
 
-def append_bars(existing: DataFrame, fetched: DataFrame, today, seq: str | None = None) -> DataFrame:
+def append_bars(existing: DataFrame, fetched: DataFrame, today, seq: str) -> DataFrame:
     fresh = appendable(existing, fetched, today, seq)
     return existing.unionByName(fresh.select(*existing.columns))
 

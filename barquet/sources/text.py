@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barquet import schemas
 from barquet.functions.columns import lenient_double, lenient_long
@@ -132,12 +133,19 @@ def preferred_series(points: DataFrame, keys: Sequence[str], units: Sequence[str
 
 
 def constituents(rows: DataFrame) -> DataFrame:
-    """Tickers from a ``Symbol`` or ``symbol`` column: trimmed, dots become dashes, blanks drop out."""
-    named = [c for c in rows.columns if c in ("Symbol", "symbol")]
-    if not named:
+    """Tickers from the columns ``Symbol`` and ``symbol``: trimmed, dots become dashes, blanks drop out.
+
+    Where a row's ``Symbol`` is null or empty its ``symbol`` counts.
+    """
+    spelt = [c for c in ("Symbol", "symbol") if c in rows.columns]
+    if not spelt:
         raise ValueError("no Symbol or symbol column")
-    ticker = F.translate(F.trim(F.col(named[0])), ".", "-")
-    return rows.withColumn("ticker", ticker).drop(named[0]).filter("ticker <> ''")
+    # by place: names that differ in case only are one name to the analyzer
+    places = {f"_s{spelt.index(c)}": i for i, c in enumerate(rows.columns) if c in spelt}
+    renamed = rows.toDF(*[f"_s{spelt.index(c)}" if c in spelt else c for c in rows.columns])
+    named = F.coalesce(*[F.when(F.col(s) != "", F.col(s)) for s in sorted(places)])
+    ticker = F.translate(F.trim(named), ".", "-")
+    return renamed.withColumn("ticker", ticker).drop(*places).filter("ticker <> ''")
 
 
 def load_constituents(spark: SparkSession, path: str) -> DataFrame:
@@ -145,8 +153,23 @@ def load_constituents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_jsonl(spark: SparkSession, path: str, schema, required: str) -> DataFrame:
-    """JSON lines; malformed lines and rows without the required key are skipped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(required).isNotNull())
+    """JSON lines; malformed lines and rows without the required key are skipped.
+
+    A line is judged whole, whatever columns are asked for later. ``line`` grows with the place of
+    the line, file by file.
+    """
+    broken = "_corrupt_record"
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    parsed = F.from_json(
+        "value", T.StructType([*schema.fields, T.StructField(broken, T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken},
+    )
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    read = lines.select("line", parsed.alias("r")).filter(
+        F.col(f"r.{broken}").isNull() & F.col(f"r.{required}").isNotNull()
+    )
+    return read.select(*[F.col(f"r.`{f.name}`") for f in schema.fields], "line")
 
 
 def daily_funding(ticks: DataFrame) -> DataFrame:

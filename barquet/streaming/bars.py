@@ -39,20 +39,30 @@ def first_fills(fills: DataFrame, orders: DataFrame, delay: str = "1 day", key:
     return once.join(orders, key, "left")
 
 
-def append_finished(spark: SparkSession, bars: DataFrame, start: DataFrame, today, name: str = "finished") -> DataFrame:
+def append_finished(
+    spark: SparkSession, bars: DataFrame, start: DataFrame, today, name: str = "finished", seq: str = "seq"
+) -> DataFrame:
     """Append-only bar table from a stream: rows of today or later, and rows not newer than what is
-    stored for their symbol, are rejected. Every batch is its own folder, so a repeat overwrites itself."""
-    folder = run_folder(spark, name)
-    base = f"{folder}/batch=-1"
-    start.write.parquet(base)
+    stored for their symbol, are rejected; of one date the first by ``seq`` stays.
+
+    Every batch is its own folder, so a repeat overwrites itself. Beside it each batch leaves the
+    newest date per symbol; the next batch reads that and not the bars before it.
+    """
+    folder, newest = run_folder(spark, name), run_folder(spark, f"{name}-newest")
     schema = start.schema
 
+    def keep(rows: DataFrame, batch_id: int) -> None:
+        latest = rows.groupBy(*SYMBOL).agg(F.max("d").alias("d"))
+        latest.write.mode("overwrite").parquet(f"{newest}/batch={batch_id}")
+
+    start.write.parquet(f"{folder}/batch=-1")
+    keep(start, -1)
+
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = spark.read.schema(schema).parquet(folder + "/batch=*").filter(
-            F.regexp_extract(F.input_file_name(), r"batch=(-?\d+)", 1).cast("long") < batch_id
-        )
-        fresh = appendable(stored, batch.select(*schema.names), today)
-        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        stored = spark.read.parquet(f"{newest}/batch={batch_id - 1}")
+        path = f"{folder}/batch={batch_id}"
+        appendable(stored, batch.select(*schema.names, seq), today, seq).select(*schema.names).write.mode("overwrite").parquet(path)
+        keep(stored.unionByName(spark.read.schema(schema).parquet(path).select(*stored.columns)), batch_id)
 
     drain_batches(bars, name, merge)
     return spark.read.schema(schema).parquet(folder + "/batch=*")

@@ -76,3 +76,16 @@ def test_winsorised_returns_tie_at_the_ends(spark):
     got = ic.winsorised(rows, ["g"], "fwd", 0.1).orderBy("fwd").collect()
     assert [r["fwd_w"] for r in got][:4] == [2.0, 2.0, 2.0, 3.0] and [r["fwd_rank"] for r in got][:4] == [2.0, 2.0, 2.0, 4.0]
     assert got[-1]["fwd_rank"] == 20.0
+
+
+def test_the_holdout_stays_locked(spark):
+    bars = drift_panel(spark, names=12, days=260)
+    windows = ic.chronological_split(bars)
+    scan = lambda **more: {(r["signal"], r["split"]) for r in ic.signal_scan(bars, ["reversal_5", "reversal_21"], windows, 5, min_cross_section=3, **more).collect()}
+    assert scan() == {(s, w) for s in ("reversal_5", "reversal_21") for w in ("train", "validation")}
+    assert scan(survivor="reversal_5") == {("reversal_5", "holdout")}
+
+
+def test_least_cross_section_per_market(spark):
+    got = spark.createDataFrame([("NASDAQ",), ("KOSPI",), ("other",)], "market string").select(ic.least_size({"NASDAQ": 30, "KOSPI": 20}).alias("n")).collect()
+    assert [r["n"] for r in got] == [30, 20, 30]

@@ -109,3 +109,15 @@ def test_buy_and_hold_keeps_missing_slices_at_cost(spark):
     got = [r["equity"] for r in rt.buy_and_hold_curve(bars, 100.0).orderBy("d").collect()]
     assert got == [pytest.approx(100.0), pytest.approx(160.0), pytest.approx(125.0)]
     assert rt.buy_and_hold(bars).first()["buy_and_hold"] == pytest.approx(0.75)
+
+
+def test_index_report_has_both_sides_and_a_least_length(spark):
+    rs = [0.01, -0.02, 0.015, 0.0] * 10
+    daily = ix.managed_index(series(spark, rs), 0.12)
+    got = ix.index_report(daily).first().asDict()
+    equity = 1.0
+    for r in rs:
+        equity *= 1 + r
+    assert got["bench_final_equity"] == pytest.approx(equity) and got["bench_n_days"] == got["n_days"] == 40
+    with pytest.raises(Exception, match="5 returns; a report needs at least 30"):
+        ix.index_report(ix.managed_index(series(spark, rs[:5]), 0.12)).collect()
