@@ -29,16 +29,22 @@ def cash_flow(fills: DataFrame, rates: Mapping[str, float] = FX) -> DataFrame:
     )
 
 
+FILLS_PER_BLOCK = 65_536
+
+
 def apply_fills(
-    fills: DataFrame, order: Sequence[str] = ("d", "k"), initial_cash: float = 0.0, rates: Mapping[str, float] = FX
+    fills: DataFrame, order: Sequence[str] = ("d", "k"), initial_cash: float = 0.0, rates: Mapping[str, float] = FX,
+    part: Column | None = None,
 ) -> DataFrame:
     """Cash and position after each fill, by running sums in fill order.
 
-    An account is the largest key there is; blocks of one day keep its fills in many tasks.
+    An account is the largest key there is. Its blocks are one day and one ``part`` of it (by default
+    so many values of the fill number), so neither an account nor a day of one has to fit in a task.
     """
     flows = cash_flow(fills, rates)
-    cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1))
-    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order, width=1)
+    part = F.floor(F.col(order[1]) / FILLS_PER_BLOCK) if part is None else part
+    cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1, within=part))
+    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order, width=1, within=part)
     return held.withColumn("cash_krw", F.lit(initial_cash) + F.col("_c")).drop("_c", "flow_krw", "delta_qty")
 
 
@@ -47,7 +53,8 @@ def symbol_values(
 ) -> DataFrame:
     """Per account, symbol and event date: position, mark and value in KRW at the end of the date.
 
-    The mark is the last close; until a bar arrives it is the price of the first fill.
+    The mark is the last close; until a bar arrives it is the price of the first fill. Bars before the
+    first fill and days without a position (but the one that closed it) have no row.
     """
     keys = ["account", *SYMBOL]
     by_day = cash_flow(fills, rates).groupBy(*keys, "currency", order).agg(
@@ -55,16 +62,17 @@ def symbol_values(
         F.sum("flow_krw").alias("flow_krw"),
         F.min_by("price", F.struct(*within)).alias("first_price"),
     )
-    marks = fills.select("account", *SYMBOL, "currency").distinct().join(bars.select(*SYMBOL, order, "close"), list(SYMBOL))
-    events = by_day.join(marks, [*keys, "currency", order], "full_outer")
     # the first fill's price stands in until a close is known
-    opening = by_day.groupBy(*keys).agg(F.min_by("first_price", order).alias("_open_px"))
+    opening = by_day.groupBy(*keys, "currency").agg(F.min_by("first_price", order).alias("_open_px"), F.min(order).alias("_since"))
+    closes = bars.select(*SYMBOL, order, "close")
+    marks = opening.join(closes, list(SYMBOL)).filter(F.col(order) >= F.col("_since")).drop("_open_px", "_since")
+    events = by_day.join(marks, [*keys, "currency", order], "full_outer")
     run = running(
         events.withColumn("_dq", F.coalesce("dq", F.lit(0))),
         {"position": ("sum", "_dq"), "_close": ("last", "close")},
         keys,
         (order,),
-    ).join(opening, keys)
+    ).filter("position <> 0 OR dq IS NOT NULL").join(opening.drop("_since"), [*keys, "currency"])
     return to_krw(
         run.withColumn("mark", F.coalesce("_close", "_open_px")).withColumn("value", F.col("position") * F.col("mark")),
         ["value"],
@@ -159,9 +167,14 @@ def open_flags(weights_: DataFrame, keys: Sequence[str] = SYMBOL, order: str = "
     ).drop("pos")
 
 
+def _initials(order: Sequence[str]) -> Column:
+    """Parts of the rows of one bar time: their symbols by the first two letters."""
+    return F.substring(F.col(order[1]), 1, 2)
+
+
 def exposure(flags: DataFrame, run: Sequence[str], order: Sequence[str] = ("ts", "ticker", "market")) -> DataFrame:
     """Share of bar events after which any symbol of the run is held."""
-    counted = running(flags, {"_open": ("sum", "turn")}, list(run), order)
+    counted = running(flags, {"_open": ("sum", "turn")}, list(run), order, width=1, within=_initials(order))
     return counted.groupBy(*run).agg(F.avg(F.when(F.col("_open") > 0, 1.0).otherwise(0.0)).alias("exposure"))
 
 
@@ -170,7 +183,7 @@ def holding_periods(
 ) -> DataFrame:
     """Mean holding length in bar events of the run; a position open at the end counts to the end."""
     run = list(run)
-    placed = with_position(flags, run, order, out="bar_index")
+    placed = with_position(flags, run, order, out="bar_index", width=1, within=_initials(order))
     size = placed.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
     turns = placed.filter("turn <> 0")
     paired = framed(

@@ -42,6 +42,16 @@ def time_block(df: DataFrame, order: str, width: int | None = None) -> Column:
     return F.floor(F.col(order) / F.lit(width or BLOCK_DAYS))
 
 
+def block(df: DataFrame, order: Sequence[str], width: int | None, within: Column | None) -> Column:
+    """Block of a row: its time block and, where many rows share one time, a part of that time.
+
+    ``within`` must not fall along the rest of ``order``; with it ``width`` must be so small that a
+    time block holds one value of the first ordering column.
+    """
+    time = time_block(df, order[0], width)
+    return time if within is None else F.struct(time.alias("t"), within.alias("p"))
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str] = SYMBOL,
@@ -49,12 +59,13 @@ def with_position(
     out: str = "pos",
     width: int | None = None,
     bounded: bool = False,
+    within: Column | None = None,
 ) -> DataFrame:
     """Add the dense position of each row in its key's order. ``order`` must be unique per key."""
     keys = list(keys)
     if bounded:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    df = df.withColumn("_blk", time_block(df, order[0], width))
+    df = df.withColumn("_blk", block(df, order, width, within))
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys, "_blk")
@@ -135,6 +146,7 @@ def running(
     by_range: bool = False,
     width: int | None = None,
     bounded: bool = False,
+    within: Column | None = None,
 ) -> DataFrame:
     """Unbounded-preceding aggregates: ``{out: (kind, column)}``, kind in sum/max/min/last/count.
 
@@ -157,7 +169,9 @@ def running(
     if bounded:
         whole = near(W.partitionBy(*keys))
         return df.select("*", *[whole[kind](col).alias(out) for out, (kind, col) in aggs.items()])
-    df = df.withColumn("_blk", time_block(df, order[0], width))
+    if within is not None and by_range:
+        raise ValueError("rows of one time cannot see each other across parts of it")
+    df = df.withColumn("_blk", block(df, order, width, within))
     key_order = F.struct(*order)
     total = {
         "sum": lambda c: F.sum(c),

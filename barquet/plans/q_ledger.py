@@ -199,7 +199,8 @@ define(
 CAST(sum(dq) OVER (PARTITION BY account, market, ticker ORDER BY d, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM flows"""),
 )
 def ag20(spark, sf):
-    return ledger.apply_fills(staged(fills(spark, sf)), initial_cash=1e9).select(*ID, "cash_krw", "position")
+    part = F.floor(F.col("l_orderkey") / ledger.FILLS_PER_BLOCK)
+    return ledger.apply_fills(staged(fills(spark, sf)), initial_cash=1e9, part=part).select(*ID, "cash_krw", "position")
 
 
 def _values(spark, sf):

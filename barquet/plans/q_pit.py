@@ -8,6 +8,7 @@ from barquet.operators import pit
 from barquet.operators.returns import calendar
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import define, with_views as sql
+from barquet.session import staged
 from barquet.sources.bridge import bars_day, duration_points, macro_long
 
 define(
@@ -72,13 +73,22 @@ define("ttm_at", "SELECT b.market, b.ticker, b.d, t.ttm FROM bars b ASOF LEFT JO
 define("sue_at", "SELECT b.market, b.ticker, b.d, t.sue FROM bars b ASOF LEFT JOIN sue t ON t.market = b.market AND t.ticker = b.ticker AND t.filed <= b.d", ("bars", "sue"))
 
 
+def _points(spark, sf):
+    """The filed points, derived once: every branch of a query reads the written table."""
+    return staged(duration_points(spark, sf), "points")
+
+
+def _quarters(spark, sf):
+    return staged(pit.quarterly_series(_points(spark, sf)), "quarters")
+
+
 def _probes(spark, sf):
     return bars_day(spark, sf).select("market", "ticker", "d", "close")
 
 
 @query("sc16_quarterly_series", sql("quarters", "SELECT market, ticker, period_end, filed, round(val, 2) + 0.0 AS val FROM quarters"))
 def sc16(spark, sf):
-    return rounded(pit.quarterly_series(duration_points(spark, sf)), 2)
+    return rounded(pit.quarterly_series(_points(spark, sf)), 2)
 
 
 @query("sc17_instant_series", sql("equity", "SELECT market, ticker, period_end, filed, round(val, 2) AS val FROM equity"))
@@ -94,18 +104,18 @@ def jn2(spark, sf):
 
 @query("jn3_trailing_sum", sql("ttm_at", "SELECT market, ticker, d, round(ttm, 2) + 0.0 AS ttm FROM ttm_at"))
 def jn3(spark, sf):
-    state = pit.trailing_sum(pit.quarterly_series(duration_points(spark, sf)))
+    state = pit.trailing_sum(_quarters(spark, sf))
     return rounded(pit.known_at(_probes(spark, sf), state, "ttm", "ttm", rank="filed").drop("close"), 2)
 
 
 @query("jn4_earnings_surprise", sql("sue", "SELECT market, ticker, filed, round(sue, 6) + 0.0 AS sue FROM sue"))
 def jn4(spark, sf):
-    return rounded(pit.standardised_surprise(pit.quarterly_series(duration_points(spark, sf))), 6)
+    return rounded(pit.standardised_surprise(_quarters(spark, sf)), 6)
 
 
 @query("jn20_surprise_signal", sql("sue_at", "SELECT market, ticker, d, round(sue, 6) + 0.0 AS sue FROM sue_at"))
 def jn20(spark, sf):
-    state = pit.standardised_surprise(pit.quarterly_series(duration_points(spark, sf)))
+    state = pit.standardised_surprise(_quarters(spark, sf))
     return rounded(pit.known_at(_probes(spark, sf), state, "sue", "sue", rank="filed").drop("close"), 6)
 
 
@@ -124,11 +134,11 @@ def jn5(spark, sf):
 FROM eq_at e JOIN (SELECT market, ticker, d, CASE WHEN val > 0 THEN val END AS val FROM sh_at) s USING (market, ticker, d) JOIN ttm_at USING (market, ticker, d)"""),
 )
 def jn19(spark, sf):
-    points = duration_points(spark, sf)
+    points = _points(spark, sf)
     out = pit.value_ratios(
         bars_day(spark, sf),
         pit.instant_series(points.filter("form = '10-K'")),
         pit.instant_series(points.filter("form = '10-H'")),
-        pit.quarterly_series(points),
+        staged(pit.quarterly_series(points), "quarters"),
     )
     return rounded(out.select("market", "ticker", "d", "book_to_market", "earnings_yield"), 10)

@@ -278,7 +278,7 @@ def pf14(spark, sf):
     from barquet.operators.scan import with_position
 
     bars = bars_day(spark, sf).select("market", "ticker", "d").withColumn("run", F.lit("all"))
-    placed = with_position(bars, ["run"], ["d", "ticker", "market"], out="bar_index", width=1)
+    placed = with_position(bars, ["run"], ["d", "ticker", "market"], out="bar_index", width=1, within=F.substring("ticker", 1, 2))
     return rounded(placed.drop("run"))
 
 

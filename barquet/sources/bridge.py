@@ -176,28 +176,28 @@ def duration_points(spark: SparkSession, sf: str) -> DataFrame:
     )
     quarter = F.trunc("od", "quarter")
     year = F.trunc("od", "year")
-    cuts = (
-        (quarter, F.add_months(quarter, 3), "10-Q"),
-        (year, F.add_months(year, 6), "10-H"),
-        (year, F.add_months(year, 12), "10-K"),
+
+    def cut(start: Column, stop: Column, form: str) -> Column:
+        return F.struct(start.alias("start"), stop.alias("stop"), F.lit(form).alias("form"))
+
+    cuts = F.array(
+        cut(quarter, F.add_months(quarter, 3), "10-Q"),
+        cut(year, F.add_months(year, 6), "10-H"),
+        cut(year, F.add_months(year, 12), "10-K"),
     )
-    parts = []
-    for start, stop, form in cuts:
-        rows = base.filter(F.col("od") < stop)
-        if form == "10-Q":  # the last quarter is only reported through the year
-            rows = rows.filter(F.month("od") <= 9)
-        parts.append(
-            rows.groupBy(
-                "ticker",
-                "market",
-                start.alias("start"),
-                F.date_sub(stop, 1).alias("period_end"),
-                F.date_add(stop, F.lit(20) + F.col("lot").cast("int") * 13).alias("filed"),
-                F.lit(form).alias("form"),
-                F.year(start).alias("fy"),
-            ).agg(F.round(F.sum("o_totalprice"), 2).alias("val"))
-        )
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # one pass: each order counts in up to three periods; the last quarter is only reported through the year
+    rows = base.select("*", F.explode(cuts).alias("c")).filter(
+        (F.col("od") < F.col("c.stop")) & ((F.col("c.form") != "10-Q") | (F.month("od") <= 9))
+    )
+    return rows.groupBy(
+        "ticker",
+        "market",
+        F.col("c.start").alias("start"),
+        F.date_sub("c.stop", 1).alias("period_end"),
+        F.date_add("c.stop", F.lit(20) + F.col("lot").cast("int") * 13).alias("filed"),
+        F.col("c.form").alias("form"),
+        F.year("c.start").alias("fy"),
+    ).agg(F.round(F.sum("o_totalprice"), 2).alias("val"))
 
 
 def news(spark: SparkSession, sf: str) -> DataFrame:

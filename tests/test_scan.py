@@ -89,3 +89,19 @@ def test_ranks_and_quantiles(spark, bounded):
     q = scan.linear_quantiles(ranks, ["g"], "v", {"lo": 0.13, "hi": 0.87}).toPandas().set_index("g")
     for g, rows in data.groupby("g"):
         np.testing.assert_allclose([q.loc[g, "lo"], q.loc[g, "hi"]], np.quantile(rows["v"], [0.13, 0.87]))
+
+
+def test_a_day_of_a_key_is_cut_in_parts(spark):
+    from barquet.operators.scan import running, with_position
+
+    df = spark.range(200).selectExpr("'a' AS key", "date_add(DATE '2024-01-01', CAST(id % 2 AS INT)) AS d", "id AS k", "(id * 37) % 11 AS v")
+    part = F.floor(F.col("k") / 16)
+    rows = sorted((r["d"], r["k"], r["v"]) for r in df.collect())
+    placed = with_position(df, ["key"], ("d", "k"), width=1, within=part).collect()
+    assert {(r["d"], r["k"]): r["pos"] for r in placed} == {(d, k): i for i, (d, k, _) in enumerate(rows)}
+    got = running(df, {"s": ("sum", "v"), "m": ("max", "v")}, ["key"], ("d", "k"), width=1, within=part).collect()
+    total, most, want = 0, -1, {}
+    for d, k, v in rows:
+        total, most = total + v, max(most, v)
+        want[(d, k)] = (total, most)
+    assert {(r["d"], r["k"]): (r["s"], r["m"]) for r in got} == want
