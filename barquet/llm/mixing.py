@@ -8,8 +8,9 @@ of one more epoch in an order that hashes seed, epoch and id; the last document
 tokens that are left. All arithmetic is on integers, so budgets add up exactly.
 
 Where documents meet their leaf they meet a small table with one row per leaf; the planner
-broadcasts it if its size allows. The cut of an epoch is found from 4096 hash buckets per leaf and
-an exact order inside the one bucket that holds the cut, so no leaf has to fit in a task.
+broadcasts it if its size allows. The cut of an epoch is found from 256 hash buckets per leaf, then
+from 256 parts of the one that holds the cut, then by the exact order inside that part, so no leaf
+has to fit in a task.
 
 Defined results: null domain, language or source is the name ``none``; a null or empty text has no
 tokens and is in no prefix; a name without a weight has ``DEFAULT_WEIGHT``, weight 0 leaves a subtree
@@ -32,6 +33,9 @@ TREE = ("domain", "lang", "source")
 DEFAULT_WEIGHT = 1
 BYTES_PER_TOKEN = 4
 MISSING = "none"
+#: The cut of an epoch is narrowed by hex digits of the order's hash: so many at a time, so often.
+CUT_DIGITS = 2
+CUT_LEVELS = 2
 
 
 @dataclass(frozen=True)
@@ -156,18 +160,24 @@ def leaf_cuts(docs: DataFrame, plan: Plan) -> DataFrame:
         docs.filter("n_tokens > 0")
         .join(budgets.filter("rest > 0").select(*TREE, "full_epochs", "rest"), list(TREE))
         .withColumn("place", epoch_key(plan))
-        .withColumn("bucket", F.substring("place", 1, 3))
-    )
-    sums = keyed.groupBy(*TREE, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
-    along = W.partitionBy(*TREE).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-    edge = (
-        sums.withColumn("upto", F.sum("n").over(along))
-        .filter("upto - n < rest and rest <= upto")
-        .select(*TREE, "bucket", (F.col("upto") - F.col("n")).alias("base"))
+        .withColumn("base", F.lit(0).cast("long"))
     )
+    for level in range(CUT_LEVELS):
+        # the bucket of the next hex digits that the cut falls into; the window sees one row a bucket
+        bucket = F.substring("place", 1 + CUT_DIGITS * level, CUT_DIGITS).alias("bucket")
+        sums = keyed.groupBy(*TREE, bucket).agg(
+            F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"), F.max("base").alias("base")
+        )
+        along = W.partitionBy(*TREE).orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        edge = staged(
+            sums.withColumn("upto", F.col("base") + F.sum("n").over(along))
+            .filter("upto - n < rest and rest <= upto")
+            .select(*TREE, "bucket", (F.col("upto") - F.col("n")).alias("base")),
+            "edge",
+        )
+        keyed = keyed.drop("base").withColumn("bucket", bucket).join(edge, [*TREE, "bucket"]).drop("bucket")
     steps = (
-        keyed.join(edge, [*TREE, "bucket"])
-        .groupBy(*TREE, "place", "doc_key", "n_tokens")
+        keyed.groupBy(*TREE, "place", "doc_key", "n_tokens")
         .agg(F.count(F.lit(1)).alias("m"), F.max("rest").alias("rest"), F.max("base").alias("base"))
     )
     inside = W.partitionBy(*TREE).orderBy("place", "doc_key", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
