@@ -10,8 +10,9 @@ cover is that anchor's context. Equal windows have equal anchors at equal places
 Contexts of the second kind, with the others of their anchor, are routed by anchor into blocks of
 about ``BLOCK_CONTEXTS``. Each block is indexed by a run-compressed Burrows-Wheeler transform with
 sampled run ends, and the matching statistics streamed from it say where ``LENGTH`` bytes repeat.
-An anchor with more than ``HOT_CONTEXTS`` different contexts would not fit a block: there every
-window's hash is counted instead, which is linear and finds the same windows.
+An anchor stays in one block, which so holds ``HOT_CONTEXTS`` and the usual number at most (some
+3 MB of text). One with more different contexts would not fit a task: there every window's hash is
+counted instead, which is linear and finds the same windows.
 
 Nothing is collected per anchor or per passage: equal contexts are counted with partial aggregates,
 and a text that occurs many times is marked once, by its hash. Texts pass a shuffle twice: once to
@@ -38,8 +39,8 @@ from .runindex import repeated_starts
 
 LENGTH = 200
 SEED_BYTES = 64
-BLOCK_CONTEXTS = 8192
-HOT_CONTEXTS = 1024
+BLOCK_CONTEXTS = 4096
+HOT_CONTEXTS = 8192
 #: Bytes hashed at a time; longer texts are worked off in overlapping pieces.
 PIECE = 1 << 19
 STEP = 0x9E3779B97F4A7C15
