@@ -100,3 +100,13 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+ORACLES["op7_kd_tree"] = """
+WITH v AS (SELECT vec_id, min([floor(64 * x::DOUBLE) for x in embedding]) AS z FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if isfinite(x)]) = len(embedding) GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.z) = len(q.z) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
