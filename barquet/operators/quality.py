@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.operators.scan import SYMBOL, framed, running
+from barquet.session import staged
 
 SEVERITY = {
     "TOO_FEW_BARS": "FAIL",
@@ -45,7 +46,7 @@ def weekday_gap(before: Column, now: Column) -> Column:
     return F.when(gap <= 1, 0).when(gap > 14, rough).otherwise(counted)
 
 
-def _arrival(bars: DataFrame, order: str) -> DataFrame:
+def with_arrival(bars: DataFrame, order: str) -> DataFrame:
     """Previous row in arrival order, per symbol."""
 
     def build(df: DataFrame, f) -> DataFrame:
@@ -54,13 +55,12 @@ def _arrival(bars: DataFrame, order: str) -> DataFrame:
     return framed(bars, build, order=(order,), back=1)
 
 
-def stale_runs(bars: DataFrame, order: str, max_run: int) -> DataFrame:
+def stale_runs(marked: DataFrame, order: str, max_run: int) -> DataFrame:
     """Runs of more than ``max_run`` equal closes, counted per symbol.
 
-    A run is named by the number of price changes before it; a run of any length is one group of
+    ``marked`` has the previous close of each row (``with_arrival``). A run is named by the number of price changes before it; a run of any length is one group of
     plain counts.
     """
-    marked = _arrival(bars, order)
     changed = F.when(F.col("_pc").isNull() | (F.col("close") != F.col("_pc")), 1).otherwise(0)
     numbered = running(marked.withColumn("_chg", changed), {"_run": ("sum", "_chg")}, SYMBOL, (order,))
     runs = numbered.groupBy(*SYMBOL, "_run").agg(F.count(F.lit(1)).alias("_len")).filter(F.col("_len") > max_run)
@@ -73,7 +73,8 @@ def issue_counts(
 ) -> DataFrame:
     """Wide table: one row per symbol, one count per code. ``names`` adds symbols without any bar."""
     keys = list(SYMBOL)
-    marked = _arrival(bars.select(*keys, order, "d", "open", "high", "low", "close", "volume"), order)
+    # once for the counts and the runs
+    marked = staged(with_arrival(bars.select(*keys, order, "d", "open", "high", "low", "close", "volume"), order), "arrival")
     jump = (F.col("_pc") > 0) & (F.abs(F.col("close") / F.col("_pc") - 1.0) > max_daily_return)
     base = marked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_bars"),
@@ -86,7 +87,7 @@ def issue_counts(
         F.count_if(F.col("volume") == 0).alias("ZERO_VOLUME"),
         F.count_if((F.col("d") > F.col("_pd")) & (weekday_gap(F.col("_pd"), F.col("d")) > 5)).alias("CALENDAR_GAP"),
     )
-    table = base.join(duplicate_counts(bars), keys, "left").join(stale_runs(bars, order, max_stale_run), keys, "left")
+    table = base.join(duplicate_counts(bars), keys, "left").join(stale_runs(marked, order, max_stale_run), keys, "left")
     if names is not None:
         table = names.select(*keys).join(table, keys, "left")
     zero = F.lit(0).cast("long")

@@ -368,13 +368,13 @@ def src22(spark, sf):
     return ingest.append_summary(ingest.appendable(existing, fetched, "1998-01-01", "seq"))
 
 
-DIGEST = "sha256(array_to_string(list_sort(list(h)), chr(10)))"
+HALF = "sum(CAST('0x' || substring(h, {}, 15) AS BIGINT))"
 define(
     "hashes",
-    f"""SELECT market, {DIGEST} AS content_hash FROM (SELECT market, {DIGEST} AS h FROM (SELECT market, ticker, {DIGEST} AS h FROM (
-SELECT market, ticker, year(d) AS y, {DIGEST} AS h FROM (SELECT market, ticker, d, sha256(concat_ws('|', market, ticker, strftime(d, '%Y-%m-%d'),
+    f"""SELECT market, sha256(concat_ws('|', count(*), {HALF.format(1)}, {HALF.format(17)})) AS content_hash FROM (
+SELECT market, md5(concat_ws('|', market, ticker, strftime(d, '%Y-%m-%d'),
 CAST(CAST(round(open, 8) AS DECIMAL(24,8)) AS VARCHAR), CAST(CAST(round(high, 8) AS DECIMAL(24,8)) AS VARCHAR), CAST(CAST(round(low, 8) AS DECIMAL(24,8)) AS VARCHAR),
-CAST(CAST(round(close, 8) AS DECIMAL(24,8)) AS VARCHAR), CAST(volume AS VARCHAR))) AS h FROM bars) GROUP BY ALL) GROUP BY ALL) GROUP BY market, substring(h, 1, 3)) GROUP BY market""",
+CAST(CAST(round(close, 8) AS DECIMAL(24,8)) AS VARCHAR), CAST(volume AS VARCHAR))) AS h FROM bars) GROUP BY market""",
     ("bars",),
 )
 
@@ -470,7 +470,7 @@ def qa7(spark, sf):
     from barquet.sources.bridge import bars_hour
 
     flat = bars_hour(spark, sf).withColumn("close", F.floor(F.col("close") / 100).cast("double")).withColumn("d", F.to_date("ts"))
-    return qa.stale_runs(flat, "ts", 5).withColumnRenamed("STALE_PRICE_RUN", "stale_runs")
+    return qa.stale_runs(qa.with_arrival(flat, "ts"), "ts", 5).withColumnRenamed("STALE_PRICE_RUN", "stale_runs")
 
 
 @query(

@@ -339,13 +339,13 @@ define(
 )
 
 
-def _grid(spark, sf):
+def _grid(spark, sf, strategies=tuple(STRATEGIES), thresholds=THRESHOLDS):
     hours = staged(bars_hour(spark, sf))
     bars = calm(hours)
-    scores = staged(pf.combined_grid_scores(ind.indicator_signals(hours), STRATEGIES, WEIGHTS))
-    weights = staged(pf.grid_weights(scores, THRESHOLDS))
-    returns = staged(pf.grid_returns(weights, bars, list(STRATEGIES), THRESHOLDS))
-    names = returns.select("ticker").distinct().count()
+    scores = staged(pf.combined_grid_scores(ind.indicator_signals(hours), {n: STRATEGIES[n] for n in strategies}, WEIGHTS))
+    weights = staged(pf.grid_weights(scores, thresholds))
+    returns = staged(pf.grid_returns(weights, bars, list(strategies), thresholds))
+    names = returns.select("ticker").distinct().agg(F.count(F.lit(1)).cast("double")).scalar()
     return returns, staged(pf.grid_equity(returns, names))
 
 
@@ -379,8 +379,8 @@ def ag29(spark, sf):
     sql("ge", "SELECT ts, round(sum(equity) * 0.5, 2) AS equity FROM ge WHERE strategy IN ('trend', 'reversion') AND threshold = 0.2 GROUP BY ts"),
 )
 def pf11(spark, sf):
-    _, equity = _grid(spark, sf)
-    curve = lambda name: equity.filter((F.col("strategy") == name) & (F.col("threshold") == 0.2))
+    _, equity = _grid(spark, sf, ("trend", "reversion"), (0.2,))
+    curve = lambda name: equity.filter(F.col("strategy") == name)
     return rounded(pf.sleeve_equity({n: curve(n) for n in ("trend", "reversion")}, {"trend": 0.5, "reversion": 0.5}), 2)
 
 

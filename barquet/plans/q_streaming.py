@@ -97,13 +97,21 @@ def str6(spark, sf):
 
 @query(
     "str7_streaming_quality",
-    sql("hours", """SELECT market, ticker, ts, 'CHEAP' AS issue, NULL::DOUBLE AS move FROM hours WHERE false
-UNION ALL SELECT market, ticker, ts, 'ZERO_VOLUME', NULL FROM hours WHERE volume = 1
+    sql("hours", """SELECT market, ticker, ts, CASE WHEN hour(ts) % 7 = 0 THEN 'NONPOSITIVE_PRICE_OR_NEG_VOLUME' WHEN hour(ts) % 7 = 1 THEN 'OHLC_INCONSISTENT' ELSE 'ZERO_VOLUME' END AS issue,
+NULL::DOUBLE AS move FROM hours WHERE hour(ts) % 7 < 2 OR volume = 1
 UNION ALL SELECT market, ticker, ts, 'PRICE_JUMP', round(move, 6) FROM (SELECT *, close / lag(close) OVER (PARTITION BY market, ticker ORDER BY ts) - 1 AS move FROM hours) WHERE abs(move) > 0.5"""),
 )
 def str7(spark, sf):
     stream = _bar_stream(spark, sf)
-    thin = stream.withColumn("volume", F.col("volume") - 1)
+    # sound bars, edited: a negative open, a high below the low, no volume
+    kind = F.hour("ts") % 7
+    thin = stream.withColumns(
+        {
+            "volume": F.col("volume") - 1,
+            "open": F.when(kind == 0, -F.col("open")).otherwise(F.col("open")),
+            "high": F.when(kind == 1, F.col("low") * 0.5).otherwise(F.col("high")),
+        }
+    )
     rows = drain_to_table(st.flagged_rows(thin).filter("issue IS NOT NULL").select(*SYMBOL, "ts", "issue"), "flags")
     moves = drain_to_table(state.jumps(stream), "jumps")
     return rounded(

@@ -130,19 +130,19 @@ def canonical_row() -> Column:
 
 
 def content_hashes(bars: DataFrame, keys: Sequence[str] = ("market",)) -> DataFrame:
-    """Order-insensitive content hash: rows hash into days, days into symbols' years, those into the set.
+    """Order-insensitive content hash: number of rows and two sums of halves of their digests, hashed.
 
-    Each level concatenates sorted digests of a bounded group, so no task holds a symbol's history.
+    Sums are partial aggregates, so no group is gathered anywhere; a row that changes, comes or goes
+    changes the sums.
     """
-    def digest(col: str) -> Column:
-        return F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(col))), 256)
-
-    rows = bars.withColumn("_h", F.sha2(canonical_row(), 256))
-    part = F.year("d")
-    level1 = rows.groupBy(*keys, "ticker", part.alias("_y")).agg(digest("_h").alias("_h"))
-    level2 = level1.groupBy(*keys, "ticker").agg(digest("_h").alias("_h"))
-    level3 = level2.groupBy(*keys, F.substring("_h", 1, 3).alias("_b")).agg(digest("_h").alias("_h"))
-    return level3.groupBy(*keys).agg(digest("_h").alias("content_hash"))
+    row = F.md5(canonical_row())
+
+    def half(start: int) -> Column:
+        return F.sum(F.conv(F.substring(row, start, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+    totals = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), half(1).alias("_a"), half(17).alias("_b"))
+    text = F.concat_ws("|", *[F.col(c).cast("string") for c in ("_n", "_a", "_b")])
+    return totals.select(*keys, F.sha2(text, 256).alias("content_hash"))
 
 
 def manifest(bars: DataFrame, provider: str = "research", adjustment: str = "adjusted") -> DataFrame:

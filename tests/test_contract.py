@@ -27,3 +27,22 @@ def test_query_equals_its_sql(spark, name):
     at = [[c[0] for c in cur.description].index(c) for c in cols]
     theirs = sorted("|".join(plain(r[i]) for i in at) for r in cur.fetchall())
     assert sorted("|".join(plain(r[c]) for c in cols) for r in df.collect()) == theirs
+
+
+def test_the_rest_works_without_the_removable_subpackage(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(contract.__file__).parent
+    shutil.copytree(root / "barquet", tmp_path / "barquet", ignore=shutil.ignore_patterns("llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
+    from barquet.plans import catalog
+
+    assert said.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))]
+    (tmp_path / "barquet" / "llm" / "__pycache__").mkdir(parents=True)
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True).returncode == 0
