@@ -91,7 +91,8 @@ def test_duplicate_fills_and_finished_bars(spark, tmp_path):
     assert sorted((r["order_id"], r["sleeve"]) for r in got.collect()) == [("o1", "S"), ("o2", None)]
     schema = "market string, ticker string, d date, close double"
     start = spark.createDataFrame([("M", "A", day(0), 1.0), ("M", "A", day(1), 1.0)], schema)
-    spark.createDataFrame([("M", "A", day(i), 2.0) for i in range(6)], schema).write.parquet(str(tmp_path / "d"))
+    rows = [("M", "A", day(i), 2.0, i) for i in range(6)] + [("M", "A", day(3), 1.5, 9)]  # the later arrival loses
+    spark.createDataFrame(rows, schema + ", seq int").write.parquet(str(tmp_path / "d"))
     done = st.append_finished(spark, read_table(spark, str(tmp_path / "d")), start, day(4)).orderBy("d").collect()
     assert [(r["d"], r["close"]) for r in done] == [(day(0), 1.0), (day(1), 1.0), (day(2), 2.0), (day(3), 2.0)]
 
