@@ -213,7 +213,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH, se
     """tk, n, spans: per text (by hash and bytes) the stretches that repeat, unmerged."""
     bounded_batches(docs.sparkSession)
     anchors = _anchors(docs, text, length, seed)
-    kinds = anchors.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("k"))
+    # read twice below; without the table the hashing of all texts would run twice as well
+    kinds = staged(anchors.groupBy("anchor", "ctx").agg(F.count(F.lit(1)).alias("k")), "kinds")
+    release(docs)
     crowd = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum((F.col("k") == 1).cast("int")).alias("singles"))
     crowd = crowd.filter("kinds > 1 and singles > 0").withColumn("hot", F.col("kinds") > HOT_CONTEXTS).select("anchor", "hot")
     flags = staged(
