@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|canvas|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
@@ -32,6 +32,8 @@ SIBLINGS = {
 }
 P_SCOPE = frozenset("html body article section main div table td th button li blockquote aside nav header footer form".split())
 NOT_SHOWN = frozenset("head title".split())
+#: Shown in place of their content, or not at all: what lies between their tags is no text of the page.
+EMBEDDED = frozenset("noscript template svg iframe select canvas object".split())
 
 
 @dataclass(slots=True)
@@ -52,14 +54,33 @@ def steps(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def closed(tokens: list[re.Match[str]]) -> set[int]:
+    """Places of the embedded elements' start tags that have an end tag of their own."""
+    found: set[int] = set()
+    open_: dict[str, list[int]] = {}
+    for m in tokens:
+        tag = m[3].lower() if m[3] else ""
+        if tag in EMBEDDED:
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    open_.setdefault(tag, []).append(m.start())
+            elif open_.get(tag):
+                found.add(open_[tag].pop())
+    return found
+
+
 def parse(page: str) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments, form fields and the head have none."""
+    """Leaf blocks in page order; scripts, styles, comments, form fields and the head have none.
+
+    An embedded element hides what is inside it; one without an end tag, or empty (``/>``), hides nothing.
+    """
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = 0
     in_link = 0
     hidden = 0
+    cover = -1  # place of the outermost embedded element on the stack
 
     def flush() -> None:
         nonlocal linked
@@ -72,21 +93,25 @@ def parse(page: str) -> list[Block]:
         linked = 0
 
     def pop(to: int) -> None:
-        nonlocal in_link, hidden
+        nonlocal in_link, hidden, cover
         for tag, _ in stack[to:]:
             in_link -= tag == "a"
             hidden -= tag in NOT_SHOWN
         del stack[to:]
+        if to <= cover:
+            cover = -1
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    tokens = list(TOKEN.finditer(page))
+    ended = closed(tokens)
+    for m in tokens:
+        if m.start() > at and cover < 0:
             piece = page[at : m.start()]
             parts.append(piece)
             linked += len(piece) * (in_link > 0)
         at = m.end()
         if not m[3]:
-            if m[1]:
+            if m[1] and cover < 0:
                 parts.append(" ")
             continue
         tag = m[3].lower()
@@ -94,44 +119,57 @@ def parse(page: str) -> list[Block]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if any(stack[k][0] in BLOCK for k in range(i, len(stack))):
+                    if i < cover:
+                        pop(cover)
+                    if cover < 0 and any(stack[k][0] in BLOCK for k in range(i, len(stack))):
                         flush()
                     pop(i)
                     break
                 if not block and stack[i][0] in P_SCOPE:
                     break  # a stray inline end tag does not close its container
             else:
-                if tag == "p":
+                if tag == "p" and cover < 0:
                     flush()
             continue
         if tag == "br":
-            parts.append(" ")
+            if cover < 0:
+                parts.append(" ")
+            continue
+        if tag in EMBEDDED:
+            if cover < 0:
+                parts.append(" ")
+            if m.start() in ended:
+                stack.append((tag, steps(tag, m[4])))
+                cover = len(stack) - 1 if cover < 0 else cover
             continue
         if block:
-            flush()
+            if cover < 0:
+                flush()
             if tag in SIBLINGS:
                 ends, scope = SIBLINGS[tag]
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, cover, -1):
                     if stack[i][0] in scope:
                         break
                     if stack[i][0] in ends:
                         pop(i)
                         break
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, cover, -1):
                     if stack[i][0] == "p":
                         pop(i)
                         break
                     if stack[i][0] in P_SCOPE:
                         break
         if tag in VOID or m[4].endswith("/") and not block:
-            if tag == "img":
+            if tag == "img" and cover < 0:
                 parts.append(" ")
             continue
         stack.append((tag, steps(tag, m[4])))
         in_link += tag == "a"
         hidden += tag in NOT_SHOWN
-    if at < len(page):
+    if cover >= 0:
+        pop(cover)
+    elif at < len(page):
         parts.append(page[at:])
     flush()
     return blocks

@@ -112,3 +112,21 @@ def test_nothing_to_learn_from(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     net = extraction.learn(empty)
     assert extraction.extract(empty, net).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a<svg-icon name="x"></svg-icon> b</p><p>rest</p>', ["a b", "rest"]),
+        ("<p>a<svg class=i/> b</p><p>rest</p>", ["a b", "rest"]),
+        *[(f"<div><{t} class=x><p>a</p></div><p>rest</p>", ["a", "rest"]) for t in ("object", "canvas", "noscript", "iframe")],
+        ("<p>a<object>b</p><p>c</p><object>d</object><p>rest</p>", ["a b", "c", "rest"]),
+        ("<p>a<noscript><p>x</p><div>y</div></noscript> b</p>", ["a b"]),
+        ("<p>a<svg><title>x</title><svg>y</svg>z</svg>b</p><p>c</p>", ["a b", "c"]),
+        ("<div>a<svg>x</div><p>b</p></svg><p>c</p>", ["a", "b", "c"]),
+        ("<ul><li>a<select><option>x<option>y</select><li>b</ul>", ["a", "b"]),
+        ("<p>a</p><script-x>b</script-x><style>x</style ><p>c</p><script>x", ["a", "b", "c"]),
+    ],
+)
+def test_embedded_elements_hide_only_their_content(page, want):
+    assert texts(page) == want
