@@ -157,9 +157,12 @@ register_indicator("macd_trend", macd_trend())
 register_indicator("bollinger_reversion", bollinger_reversion())
 
 
-def indicators_wide(bars: DataFrame, names: Iterable[str] | None = None, order: str = "ts") -> DataFrame:
-    """One STRUCT column per indicator, NULL until it has its bars."""
-    chosen = list(names or INDICATORS)
+def indicator_columns(names: Iterable[str]) -> tuple[int, Callable[[DataFrame, Frames], DataFrame]]:
+    """How far back the named indicators look, and the step that adds one STRUCT column for each.
+
+    The step runs on a table (``framed``) and on the batches of a stream (``streaming.state.framed_stream``).
+    """
+    chosen = list(names)
 
     def build(df: DataFrame, f: Frames) -> DataFrame:
         for name in chosen:
@@ -168,16 +171,21 @@ def indicators_wide(bars: DataFrame, names: Iterable[str] | None = None, order:
             "*", *[F.when(f.full(INDICATORS[n].min_bars), INDICATORS[n].result()).alias(n) for n in chosen]
         )
 
-    return framed(bars, build, order=(order,), back=max(INDICATORS[n].min_bars for n in chosen))
+    return max(INDICATORS[n].min_bars for n in chosen), build
 
 
-def indicator_signals(bars: DataFrame, names: Iterable[str] | None = None, order: str = "ts") -> DataFrame:
-    """Long signal rows: source, symbol, time, clamped score and confidence, horizon."""
+def indicators_wide(bars: DataFrame, names: Iterable[str] | None = None, order: str = "ts") -> DataFrame:
+    """One STRUCT column per indicator, NULL until it has its bars."""
+    back, build = indicator_columns(names or INDICATORS)
+    return framed(bars, build, order=(order,), back=back)
+
+
+def signal_rows(wide: DataFrame, names: Iterable[str] | None = None, order: str = "ts") -> DataFrame:
+    """Long signal rows of a table with one column per indicator."""
     chosen = list(names or INDICATORS)
     pairs = ", ".join(f"'{n}', `{n}`" for n in chosen)
     return (
-        indicators_wide(bars, chosen, order)
-        .selectExpr("market", "ticker", order, "close", f"stack({len(chosen)}, {pairs}) as (source, res)")
+        wide.selectExpr("market", "ticker", order, "close", f"stack({len(chosen)}, {pairs}) as (source, res)")
         .filter("res is not null")
         .select(
             "source", "market", "ticker", order, "close",
@@ -188,8 +196,13 @@ def indicator_signals(bars: DataFrame, names: Iterable[str] | None = None, order
     )
 
 
-def combined_technical(bars: DataFrame, fast: int = 20, slow: int = 50, order: str = "ts") -> DataFrame:
-    """Mean of four clamped parts on a window of at most max(slow, 60) closes, with its feature map."""
+def indicator_signals(bars: DataFrame, names: Iterable[str] | None = None, order: str = "ts") -> DataFrame:
+    """Long signal rows: source, symbol, time, clamped score and confidence, horizon."""
+    return signal_rows(indicators_wide(bars, names, order), names, order)
+
+
+def combined_columns(fast: int = 20, slow: int = 50) -> tuple[int, Callable[[DataFrame, Frames], DataFrame]]:
+    """The combined technical score as a step over frames: the column ``technical``, NULL until ``slow`` bars are there."""
     size = max(slow, 60)
 
     def build(df: DataFrame, f: Frames) -> DataFrame:
@@ -207,26 +220,37 @@ def combined_technical(bars: DataFrame, fast: int = 20, slow: int = 50, order: s
         macd = F.lit(0.0)
         for j, w in enumerate(weights):
             macd = macd + F.get("_tail", F.lit(j)) * w
-        return df.withColumn("_macd", macd).drop("_tail", "_old")
-
-    out = framed(bars, build, order=(order,), back=size).filter(F.col("pos") >= slow - 1)
-    ms = F.col("_ms")
-    ma_part = clamp(F.when(ms != 0, (F.col("_mf") - ms) / ms).otherwise(0.0) * 10)
-    rsi_part = clamp((F.col("_rsi") - 50.0) / 50.0)
-    macd_part = clamp(F.col("_macd") / F.when(ms != 0, ms).otherwise(1.0) * 10)
-    bb = F.when(F.col("_sd") != 0, (F.col("close") - F.col("_mf")) / (2 * F.col("_sd"))).otherwise(0.0)
-    return out.select(
-        F.lit("technical").alias("source"), "market", "ticker", order,
-        clamp((ma_part + rsi_part + macd_part + clamp(bb)) / 4.0).alias("score"),
-        F.lit(0.6).alias("confidence"),
-        F.lit("1d").alias("horizon"),
-        F.create_map(
+        df = df.withColumn("_macd", macd)
+        ms = F.col("_ms")
+        ma_part = clamp(F.when(ms != 0, (F.col("_mf") - ms) / ms).otherwise(0.0) * 10)
+        rsi_part = clamp((F.col("_rsi") - 50.0) / 50.0)
+        macd_part = clamp(F.col("_macd") / F.when(ms != 0, ms).otherwise(1.0) * 10)
+        bb = F.when(F.col("_sd") != 0, (F.col("close") - F.col("_mf")) / (2 * F.col("_sd"))).otherwise(0.0)
+        features = F.create_map(
             F.lit("ma_fast"), F.col("_mf"), F.lit("ma_slow"), ms, F.lit("rsi"), F.col("_rsi"),
             F.lit("macd_hist"), F.col("_macd"), F.lit("bb_pos"), bb,
-        ).alias("features"),
+        )
+        score = clamp((ma_part + rsi_part + macd_part + clamp(bb)) / 4.0)
+        made = F.struct(score.alias("score"), F.lit(0.6).alias("confidence"), features.alias("features"))
+        return df.withColumn("technical", F.when(f.full(slow), made)).drop("_tail", "_old", "_rsi", "_mf", "_ms", "_sd", "_macd")
+
+    return size, build
+
+
+def combined_rows(wide: DataFrame, order: str = "ts") -> DataFrame:
+    """Signal rows of a table with the column ``technical``."""
+    return wide.filter("technical IS NOT NULL").select(
+        F.lit("technical").alias("source"), "market", "ticker", order, F.col("technical.score").alias("score"),
+        F.col("technical.confidence").alias("confidence"), F.lit("1d").alias("horizon"), F.col("technical.features").alias("features"),
     )
 
 
+def combined_technical(bars: DataFrame, fast: int = 20, slow: int = 50, order: str = "ts") -> DataFrame:
+    """Mean of four clamped parts on a window of at most max(slow, 60) closes, with its feature map."""
+    back, build = combined_columns(fast, slow)
+    return combined_rows(framed(bars, build, order=(order,), back=back), order)
+
+
 def average_true_range(bars: DataFrame, period: int = 14, order: str = "ts") -> DataFrame:
     """Wilder's ATR: seeded with the mean of the first ``period`` ranges, NULL before."""
 

@@ -6,10 +6,11 @@ column; ``_r`` is the simple return of the bar. A row never sees a later row.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,26 +126,29 @@ def signals_long(wide: DataFrame, names: Sequence[str], keep: Sequence[str]) ->
 
 
 def python_signal(
-    bars: DataFrame, fn: Callable[[pd.DataFrame], float | None], history: int, name: str = "score",
+    bars: DataFrame, fn: Callable[[Mapping[str, np.ndarray]], np.ndarray], history: int, name: str = "score",
     columns: Sequence[str] = ("open", "high", "low", "close", "volume"), order: str = "d",
 ) -> DataFrame:
     """A Python function of the trailing ``history`` bars, for signals no expression can give.
 
-    Each task holds one bounded chunk of a symbol with its halo, never a whole symbol.
+    ``fn`` is called once per chunk: it gets each column as a matrix with one row per bar, the ``history`` values
+    up to it (a view, nothing is copied), and returns one number per row; NaN is no opinion. A chunk is
+    bounded and comes with its halo as Arrow columns; no task holds a whole symbol.
     """
     kind = dict(bars.dtypes)[order]
     keep = [*SYMBOL, order, *columns]
     placed = with_halo(with_position(bars.select(*keep), order=(order,)), back=history - 1, chunk=max(1024, 2 * history))
 
-    def per_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        scores = []
-        for at in range(len(pdf)):
-            if not pdf["_own"].iat[at] or pdf["pos"].iat[at] < history - 1:
-                scores.append(None)
-                continue
-            scores.append(fn(pdf.iloc[at - history + 1 : at + 1]))
-        return pdf[[*SYMBOL, order]].assign(**{name: pd.array(scores, dtype="Float64")})[pdf["_own"].to_numpy()]
+    def per_chunk(chunk: pa.Table) -> pa.Table:
+        chunk = chunk.sort_by("pos")
+        scores = np.full(len(chunk), np.nan)
+        if len(chunk) >= history:
+            numbers = {c: chunk[c].to_numpy().astype(np.float64) for c in columns}
+            views = {c: np.lib.stride_tricks.sliding_window_view(v, history) for c, v in numbers.items()}
+            scores[history - 1 :] = fn(views)
+        # a chunk begins with the halo, so only a symbol's first bars lack history
+        scored = chunk.select([*SYMBOL, order]).append_column(name, pa.array(scores, from_pandas=True))
+        return scored.filter(chunk["_own"])
 
     schema = f"market string, ticker string, {order} {kind}, {name} double"
-    return placed.groupBy(*SYMBOL, "_chunk").applyInPandas(per_chunk, schema)
+    return placed.groupBy(*SYMBOL, "_chunk").applyInArrow(per_chunk, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barquet.functions.columns import Slippage, market_commission, to_krw, with_costs
-from barquet.operators.scan import SYMBOL, framed, running, with_position
+from barquet.operators.scan import PART, SYMBOL, framed, in_order, running, with_position
 from barquet.session import staged
 
 FX = {"KRW": 1.0, "USD": 1300.0}
@@ -29,23 +29,18 @@ def cash_flow(fills: DataFrame, rates: Mapping[str, float] = FX) -> DataFrame:
     )
 
 
-FILLS_PER_BLOCK = 65_536
-
-
 def apply_fills(
-    fills: DataFrame, order: Sequence[str] = ("d", "k"), initial_cash: float = 0.0, rates: Mapping[str, float] = FX,
-    part: Column | None = None,
+    fills: DataFrame, order: Sequence[str] = ("d", "k"), initial_cash: float = 0.0, rates: Mapping[str, float] = FX
 ) -> DataFrame:
     """Cash and position after each fill, by running sums in fill order.
 
-    An account is the largest key there is. Its blocks are one day and one ``part`` of it (by default
-    so many values of the fill number), so neither an account nor a day of one has to fit in a task.
+    An account is the largest key there is; its fills are cut into range parts of the whole order, so
+    neither an account nor one time of it has to fit in a task.
     """
-    flows = cash_flow(fills, rates)
-    part = F.floor(F.col(order[1]) / FILLS_PER_BLOCK) if part is None else part
-    cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, width=1, within=part))
-    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order, width=1, within=part)
-    return held.withColumn("cash_krw", F.lit(initial_cash) + F.col("_c")).drop("_c", "flow_krw", "delta_qty")
+    flows = in_order(cash_flow(fills, rates), ["account"], order)
+    cash = staged(running(flows, {"_c": ("sum", "flow_krw")}, ["account"], order, part=PART))
+    held = running(cash, {"position": ("sum", "delta_qty")}, ["account", *SYMBOL], order, part=PART)
+    return held.withColumn("cash_krw", F.lit(initial_cash) + F.col("_c")).drop("_c", "flow_krw", "delta_qty", PART)
 
 
 def symbol_values(
@@ -53,8 +48,11 @@ def symbol_values(
 ) -> DataFrame:
     """Per account, symbol and event date: position, mark and value in KRW at the end of the date.
 
-    The mark is the last close; until a bar arrives it is the price of the first fill. Bars before the
-    first fill and days without a position (but the one that closed it) have no row.
+    The mark is the last close; until a bar arrives it is the price of the first fill. Events are the
+    dates with fills, and the bars while a position is held; bars without a close make no row.
+
+    A holding is an interval of bar positions: from the bar of a fill's date to the one before the next
+    fill's. Its bars are found by position, so a closed position joins, shuffles and makes no rows.
     """
     keys = ["account", *SYMBOL]
     by_day = cash_flow(fills, rates).groupBy(*keys, "currency", order).agg(
@@ -62,22 +60,36 @@ def symbol_values(
         F.sum("flow_krw").alias("flow_krw"),
         F.min_by("price", F.struct(*within)).alias("first_price"),
     )
+    by_day = staged(by_day, "fill-days")
     # the first fill's price stands in until a close is known
     opening = by_day.groupBy(*keys, "currency").agg(F.min_by("first_price", order).alias("_open_px"), F.min(order).alias("_since"))
-    closes = bars.select(*SYMBOL, order, "close")
-    marks = opening.join(closes, list(SYMBOL)).filter(F.col(order) >= F.col("_since")).drop("_open_px", "_since")
-    events = by_day.join(marks, [*keys, "currency", order], "full_outer")
-    run = running(
-        events.withColumn("_dq", F.coalesce("dq", F.lit(0))),
-        {"position": ("sum", "_dq"), "_close": ("last", "close")},
-        keys,
-        (order,),
-    ).filter("position <> 0 OR dq IS NOT NULL").join(opening.drop("_since"), [*keys, "currency"])
-    return to_krw(
-        run.withColumn("mark", F.coalesce("_close", "_open_px")).withColumn("value", F.col("position") * F.col("mark")),
-        ["value"],
-        rates,
-    ).select(*keys, "currency", order, "position", "mark", "value_krw", F.coalesce("flow_krw", F.lit(0.0)).alias("flow_krw"))
+    priced = bars.filter("close IS NOT NULL").select(*SYMBOL, order, "close")
+    closes = staged(with_position(priced, SYMBOL, (order,), out="_at"), "closes")
+    # how many closes a symbol has up to each date with fills
+    dates = by_day.select(*SYMBOL, order).distinct().join(closes.select(*SYMBOL, order, "close"), [*SYMBOL, order], "full_outer")
+    counted = running(dates, {"_upto": ("count", "close")}, SYMBOL, (order,)).select(
+        *SYMBOL, order, "_upto", (F.col("_upto") - F.col("close").isNotNull().cast("long")).alias("_below")
+    )
+    size = closes.groupBy(*SYMBOL).agg(F.count(F.lit(1)).alias("_size"))
+    held = running(by_day, {"position": ("sum", "dq")}, keys, (order,))
+    spans = framed(
+        held.join(counted, [*SYMBOL, order]),
+        lambda df, f: df.withColumn("_until", f.lead("_below")),
+        keys=keys,
+        order=(order,),
+        ahead=1,
+    ).drop("pos").join(size, list(SYMBOL), "left").join(opening, [*keys, "currency"])
+    first = F.col("_upto") - 1
+    last = F.when(F.col("position") != 0, F.coalesce("_until", "_size", F.lit(0)) - 1).otherwise(first)
+    spread = spans.withColumn("_at", F.explode(F.sequence(first, F.greatest(first, last)))).withColumn("_fill", F.col("_at") == first)
+    marks = closes.withColumnRenamed(order, "_bar")
+    found = spread.join(marks, [*SYMBOL, "_at"], "left")
+    known = F.when(F.col("_bar") >= F.col("_since"), F.col("close"))
+    found = found.withColumn("mark", F.coalesce(known, "_open_px")).withColumn("value", F.col("position") * F.col("mark"))
+    return to_krw(found, ["value"], rates).select(
+        *keys, "currency", F.when(F.col("_fill"), F.col(order)).otherwise(F.col("_bar")).alias(order), "position", "mark", "value_krw",
+        F.when(F.col("_fill"), F.col("flow_krw")).otherwise(0.0).alias("flow_krw"),
+    )
 
 
 def equity_curve(values: DataFrame, initial_cash: float = 0.0, order: str = "d") -> DataFrame:
@@ -167,14 +179,9 @@ def open_flags(weights_: DataFrame, keys: Sequence[str] = SYMBOL, order: str = "
     ).drop("pos")
 
 
-def _initials(order: Sequence[str]) -> Column:
-    """Parts of the rows of one bar time: their symbols by the first two letters."""
-    return F.substring(F.col(order[1]), 1, 2)
-
-
 def exposure(flags: DataFrame, run: Sequence[str], order: Sequence[str] = ("ts", "ticker", "market")) -> DataFrame:
-    """Share of bar events after which any symbol of the run is held."""
-    counted = running(flags, {"_open": ("sum", "turn")}, list(run), order, width=1, within=_initials(order))
+    """Share of bar events after which any symbol of the run is held. Bars may have any width."""
+    counted = running(in_order(flags, run, order), {"_open": ("sum", "turn")}, list(run), order, part=PART)
     return counted.groupBy(*run).agg(F.avg(F.when(F.col("_open") > 0, 1.0).otherwise(0.0)).alias("exposure"))
 
 
@@ -183,7 +190,7 @@ def holding_periods(
 ) -> DataFrame:
     """Mean holding length in bar events of the run; a position open at the end counts to the end."""
     run = list(run)
-    placed = with_position(flags, run, order, out="bar_index", width=1, within=_initials(order))
+    placed = with_position(in_order(flags, run, order), run, order, out="bar_index", part=PART)
     size = placed.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
     turns = placed.filter("turn <> 0")
     paired = framed(

@@ -14,7 +14,7 @@ from barquet.operators.indexing import vol_scalar
 from barquet.operators.returns import (
     calendar, compounded, drawdowns, equal_period_return, log_metrics, max_drawdown, period_metrics, period_return, total_return,
 )
-from barquet.operators.scan import SYMBOL, framed, running
+from barquet.operators.scan import SYMBOL, framed, in_order, running
 from barquet.session import staged
 from barquet.sources.ingest import first_n
 
@@ -321,7 +321,8 @@ def grid_equity(returns: DataFrame, symbols: int | Column, init: float = INIT, o
 def grid_report(returns: DataFrame, equity: DataFrame, order: str = "ts") -> DataFrame:
     """Trades, return, drawdown, exposure, mean holding and final equity per strategy and threshold."""
     run = ["strategy", "threshold"]
-    flags = staged(ledger.open_flags(returns, [*run, *SYMBOL], order, "active"))
+    # one order over all symbols of a run, cut once for both measures
+    flags = in_order(ledger.open_flags(returns, [*run, *SYMBOL], order, "active"), run, (order, "ticker", "market"))
     trades = returns.groupBy(*run).agg(F.sum("traded").alias("trades"))
     final = equity.groupBy(*run).agg(F.max_by("equity", order).alias("final_equity"))
     parts = [

@@ -1,12 +1,13 @@
 """Ordered computations per key that never need one key in one task.
 
 A symbol may hold any share of the rows, so no window here is partitioned by symbol alone.
-Four tools replace it:
+Five tools replace it:
 
 * ``with_position``  dense 0-based position per key, from block counts plus a rank inside a block;
 * ``with_halo``      cuts a key's sequence into position chunks and copies the few rows a
                      bounded frame needs from the neighbouring chunk;
 * ``running``        unbounded-preceding aggregates, from block totals plus a frame inside a block;
+* ``in_order``       parts of the whole order by range cuts, where one order runs over many symbols;
 * ``discounted_sum`` S[t] = q*S[t-1] + y[t] in two levels (EWMA, Wilder smoothing).
 
 A series with one row per calendar date and panel (an index, an equity curve) is short by nature;
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barquet.session import staged
+
 SYMBOL = ("market", "ticker")
 
 BLOCK_DAYS = 64
@@ -42,14 +45,21 @@ def time_block(df: DataFrame, order: str, width: int | None = None) -> Column:
     return F.floor(F.col(order) / F.lit(width or BLOCK_DAYS))
 
 
-def block(df: DataFrame, order: Sequence[str], width: int | None, within: Column | None) -> Column:
-    """Block of a row: its time block and, where many rows share one time, a part of that time.
+PART = "_part"
+
+
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """Deal rows into parts by sampled range cuts of the whole (keys, order) tuple, and write them.
 
-    ``within`` must not fall along the rest of ``order``; with it ``width`` must be so small that a
-    time block holds one value of the first ordering column.
+    The number of a row's part is in ``_part`` and rises with the order of its key, whatever the values
+    of the order are: a time that many rows share, or a symbol with most of the rows, is cut like any
+    other stretch. ``with_position`` and ``running`` take parts as their blocks (``part=PART``).
     """
-    time = time_block(df, order[0], width)
-    return time if within is None else F.struct(time.alias("t"), within.alias("p"))
+    if PART in df.columns:
+        return df
+    columns = [*keys, *order]
+    cut = df.repartitionByRange(parts, *columns) if parts else df.repartitionByRange(*columns)
+    return staged(cut.withColumn(PART, F.spark_partition_id()), "ordered")
 
 
 def with_position(
@@ -59,13 +69,16 @@ def with_position(
     out: str = "pos",
     width: int | None = None,
     bounded: bool = False,
-    within: Column | None = None,
+    part: str | None = None,
 ) -> DataFrame:
-    """Add the dense position of each row in its key's order. ``order`` must be unique per key."""
+    """Add the dense position of each row in its key's order. ``order`` must be unique per key.
+
+    Blocks are stretches of time, or the values of a column ``part`` that rises with the order.
+    """
     keys = list(keys)
     if bounded:
         return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    df = df.withColumn("_blk", block(df, order, width, within))
+    df = df.withColumn("_blk", F.col(part) if part else time_block(df, order[0], width))
     before = W.partitionBy(*keys).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
         df.groupBy(*keys, "_blk")
@@ -146,12 +159,12 @@ def running(
     by_range: bool = False,
     width: int | None = None,
     bounded: bool = False,
-    within: Column | None = None,
+    part: str | None = None,
 ) -> DataFrame:
     """Unbounded-preceding aggregates: ``{out: (kind, column)}``, kind in sum/max/min/last/count.
 
     ``last`` skips NULL. ``end=-1`` leaves out the current row. ``by_range`` makes rows with an
-    equal first ordering column visible to each other.
+    equal first ordering column visible to each other. ``part`` as in ``with_position``.
     """
     keys = list(keys)
 
@@ -169,9 +182,9 @@ def running(
     if bounded:
         whole = near(W.partitionBy(*keys))
         return df.select("*", *[whole[kind](col).alias(out) for out, (kind, col) in aggs.items()])
-    if within is not None and by_range:
+    if part and by_range:
         raise ValueError("rows of one time cannot see each other across parts of it")
-    df = df.withColumn("_blk", block(df, order, width, within))
+    df = df.withColumn("_blk", F.col(part) if part else time_block(df, order[0], width))
     key_order = F.struct(*order)
     total = {
         "sum": lambda c: F.sum(c),

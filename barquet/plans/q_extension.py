@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Mapping
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from barquet.functions import extension as ext
@@ -18,9 +20,9 @@ from barquet.plans.views import with_views as sql
 from barquet.sources.bridge import bars_day, bars_hour
 
 
-def _last_over_mean(window: pd.DataFrame) -> float:
-    close = window["close"].to_numpy()
-    return float(close[-1] / close.mean() - 1.0)
+def _last_over_mean(windows: Mapping[str, np.ndarray]) -> np.ndarray:
+    close = windows["close"]
+    return close[:, -1] / close.mean(axis=1) - 1.0
 
 
 @query(

@@ -11,6 +11,7 @@ from barquet.plans.views import define, with_views as sql
 from barquet.session import run_folder, staged
 from barquet.sources import bars as rest
 from barquet.sources import cleaning, ingest, text
+from barquet.sources.bars import load_bars, save_bars
 from barquet.sources.bridge import (
     bars_day, bars_day_s, corrupted_bars, duration_points, funding, lines, macro, nation_market, table,
 )
@@ -215,8 +216,18 @@ def src13(spark, sf):
         & ~((F.col("seq") < 3) & (F.col("ticker") == "N10"))
         & ~((F.col("form") == "10-K") & F.col("ticker").isin("N01", "N02"))
     )
-    out = text.preferred_series(rows, ["ticker"], concepts=["10-K", "10-Q"])
-    return out.select("ticker", "concept", "unit", "period_end", "filed", "val")
+    # the bodies as they are downloaded: units in order of arrival, with points that cannot be used among them
+    point = F.struct(F.col("start").cast("string").alias("start"), F.col("period_end").cast("string").alias("end"), F.col("filed").cast("string").alias("filed"), "val", "fy", "form")
+    bad = F.array(F.struct(F.lit("").alias("start"), F.lit("soon").alias("end"), F.lit("2020-01-01").alias("filed"), F.lit(1.0).alias("val"), F.lit(2020).alias("fy"), F.lit("x").alias("form")))
+    units = rows.groupBy("ticker", "concept", "seq", "unit").agg(F.concat(F.collect_list(point), bad).alias("points"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "unit", "points")))
+    bodies = units.groupBy("ticker", "concept").agg(F.map_from_entries(F.transform(ordered, lambda u: F.struct(u["unit"], u["points"]))).alias("units"))
+    bodies = bodies.select("ticker", "concept", F.to_json(F.struct(F.lit(320193).alias("cik"), F.col("concept").alias("tag"), "units")).alias("body"))
+    # a concept that a company does not report comes as an error page
+    missing = bodies.select("ticker", F.lit("10-K").alias("concept"), F.lit("<html>not found</html>").alias("body")).filter(F.col("ticker").isin("N01", "N02"))
+    found = text.concept_points(bodies.unionByName(missing), ["ticker", "concept"])
+    out = text.preferred_series(found, ["ticker"], concepts=["10-K", "10-Q"])
+    return rounded(out.select("ticker", "concept", "unit", "period_end", "filed", "val"))
 
 
 @query(
@@ -381,13 +392,16 @@ CAST(CAST(round(close, 8) AS DECIMAL(24,8)) AS VARCHAR), CAST(volume AS VARCHAR)
 
 @query(
     "src23_manifest",
-    sql("hashes", """SELECT market, min(d) AS start_date, max(d) AS end_date, count(*) AS n_bars, array_to_string(list_sort(list(DISTINCT ticker)), ',') AS symbols,
-count(DISTINCT ticker) AS n_symbols, any_value(content_hash) AS content_hash, 'research' AS provider, 'adjusted' AS adjustment
-FROM bars JOIN hashes USING (market) GROUP BY market"""),
+    sql("hashes", """SELECT market, min(d) AS start_date, max(d) AS end_date, count(*) AS n_bars, count(DISTINCT ticker) AS n_symbols,
+any_value(content_hash) AS content_hash, 'research' AS provider, 'adjusted' AS adjustment FROM bars JOIN hashes USING (market) GROUP BY market"""),
 )
 def src23(spark, sf):
-    out = ingest.manifest(bars_day(spark, sf))
-    return out.withColumn("symbols", F.array_join("symbols", ","))
+    return ingest.manifest(bars_day(spark, sf))
+
+
+@query("src23_manifest_symbols", sql("bars", "SELECT market, ticker, min(d) AS start_date, max(d) AS end_date, count(*) AS n_bars FROM bars GROUP BY market, ticker"))
+def src23_symbols(spark, sf):
+    return ingest.manifest_symbols(bars_day(spark, sf))
 
 
 @query("src24_content_hash", sql("hashes", "SELECT market, content_hash, market = 'KOSPI' AS verified FROM hashes"))
@@ -545,10 +559,8 @@ kept AS (SELECT market, ticker, 'prior' AS origin FROM bars p WHERE d < DATE '19
 SELECT market, ticker, status, origin, count(k.origin) AS n FROM st LEFT JOIN kept k USING (market, ticker) GROUP BY ALL"""),
 )
 def src25(spark, sf):
-    bars = bars_day(spark, sf)
-    prior = bars.filter("d < DATE '1998-01-01' AND cast(substring(ticker, 2) as int) % 3 <> 0").withColumn("origin", F.lit("prior"))
-    fetched = bars.filter("d >= DATE '1998-01-01'").withColumn("origin", F.lit("fetched"))
-    verdicts = fetched.groupBy("market", "ticker").agg(F.bool_and(~(F.col("close") > 20000)).alias("passed"))
+    prior, fetched, verdicts = _update(spark, sf)
+    prior, fetched = prior.withColumn("origin", F.lit("prior")), fetched.withColumn("origin", F.lit("fetched"))
     served, status = ingest.gated_update(prior, fetched, verdicts)
     counts = served.groupBy("market", "ticker", "origin").agg(F.count(F.lit(1)).alias("n"))
     return status.join(counts, ["market", "ticker"], "left").select(
@@ -556,6 +568,32 @@ def src25(spark, sf):
     )
 
 
+def _update(spark, sf):
+    """Stored bars, newly fetched ones and the verdict on each fetched symbol."""
+    bars = bars_day(spark, sf)
+    prior = bars.filter("d < DATE '1998-01-01' AND cast(substring(ticker, 2) as int) % 3 <> 0")
+    fetched = bars.filter("d >= DATE '1998-01-01'")
+    verdicts = fetched.groupBy("market", "ticker").agg(F.bool_and(~(F.col("close") > 20000)).alias("passed"))
+    return prior, fetched, verdicts
+
+
+@query(
+    "src25_gated_store",
+    sql("bars", """, v AS (SELECT ticker, bool_and(NOT (close > 20000)) AS passed FROM bars WHERE d >= DATE '1998-01-01' GROUP BY ALL)
+SELECT market, ticker, d, open, high, low, close, volume, currency FROM bars WHERE d >= DATE '1998-01-01' AND ticker IN (SELECT ticker FROM v WHERE passed)
+UNION ALL SELECT market, ticker, d, open, high, low, close, volume, currency FROM bars WHERE d < DATE '1998-01-01' AND CAST(substring(ticker, 2) AS INTEGER) % 3 <> 0
+ AND NOT ticker IN (SELECT ticker FROM v WHERE passed)"""),
+)
+def src25_store(spark, sf):
+    prior, fetched, verdicts = _update(spark, sf)
+    folder = run_folder(spark, "store")
+    save_bars(prior, folder)
+    verdicts = staged(verdicts, "verdicts")
+    for _ in range(2):  # the second call finds the update committed and only repeats it
+        ingest.store_update(spark, folder, fetched, verdicts, "u1")
+    return load_bars(spark, folder).select("market", "ticker", "d", "open", "high", "low", "close", "volume", "currency")
+
+
 define(
     "istate",
     """SELECT market, ticker, k, (SELECT max(d) FROM bars) + INTERVAL 2 DAY AS now, CAST(max(d) AS TIMESTAMP) AS last_success, max(d) AS last_date,

@@ -199,8 +199,7 @@ define(
 CAST(sum(dq) OVER (PARTITION BY account, market, ticker ORDER BY d, k ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position FROM flows"""),
 )
 def ag20(spark, sf):
-    part = F.floor(F.col("l_orderkey") / ledger.FILLS_PER_BLOCK)
-    return ledger.apply_fills(staged(fills(spark, sf)), initial_cash=1e9, part=part).select(*ID, "cash_krw", "position")
+    return ledger.apply_fills(fills(spark, sf), initial_cash=1e9).select(*ID, "cash_krw", "position")
 
 
 def _values(spark, sf):
@@ -253,17 +252,17 @@ def ag22(spark, sf):
 
 
 def _accounts(spark, sf):
-    """One account per nation with a domestic and an overseas balance body."""
-    suppliers = table(spark, sf, "supplier")
-    customers = table(spark, sf, "customer")
-    s = F.col("s_suppkey").cast("string")
-    qty = F.col("s_suppkey") % 7
-    dom = F.struct(s.alias("pdno"), F.when(qty == 0, "-").otherwise(qty.cast("string")).alias("hldg_qty"), F.round("s_acctbal", 2).cast("string").alias("prpr"))
-    ovr = F.struct(F.concat(F.lit(" U"), s, F.lit(" ")).alias("ovrs_pdno"), (qty + 0.5).cast("string").alias("ovrs_cblc_qty"), F.round("s_acctbal", 2).cast("string").alias("now_pric2"))
-    held = suppliers.groupBy(F.col("s_nationkey").alias("n")).agg(
-        F.collect_list(F.when(F.col("s_suppkey") % 2 == 0, dom)).alias("dom"), F.collect_list(F.when(F.col("s_suppkey") % 2 == 1, ovr)).alias("ovr")
+    """One account per customer with a domestic and an overseas balance body; its orders are the positions."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    s = F.col("o_orderkey").cast("string")
+    qty = F.col("o_orderkey") % 7
+    price = F.round("o_totalprice", 2).cast("decimal(20,2)").cast("string")
+    dom = F.struct(s.alias("pdno"), F.when(qty == 0, "-").otherwise(qty.cast("string")).alias("hldg_qty"), price.alias("prpr"))
+    ovr = F.struct(F.concat(F.lit(" U"), s, F.lit(" ")).alias("ovrs_pdno"), (qty + 0.5).cast("string").alias("ovrs_cblc_qty"), price.alias("now_pric2"))
+    held = orders.groupBy(F.col("o_custkey").alias("n")).agg(
+        F.collect_list(F.when(F.col("o_orderkey") % 2 == 0, dom)).alias("dom"), F.collect_list(F.when(F.col("o_orderkey") % 2 == 1, ovr)).alias("ovr")
     )
-    cash = customers.groupBy(F.col("c_nationkey").alias("n")).agg(F.round(F.sum("c_acctbal"), 2).alias("bal"))
+    cash = customers.select(F.col("c_custkey").alias("n"), F.round(F.abs("c_acctbal"), 2).alias("bal"))
     amount = F.col("bal").cast("decimal(20,2)").cast("string")
     summary = F.struct(
         F.when(F.col("n") % 3 == 0, amount).otherwise("").alias("prvs_rcdl_excc_amt"),
@@ -271,22 +270,23 @@ def _accounts(spark, sf):
         F.concat(F.lit("1"), amount).alias("dnca_tot_amt"),
         amount.alias("nass_amt"),
     )
+    bought = F.struct((F.col("n") % 25 * 100).cast("string").alias("frcr_pchs_amt1"))
     return cash.join(held, "n", "left").select(
         F.col("n").alias("account"),
         F.to_json(F.struct(F.coalesce("dom", F.array()).alias("output1"), F.array(summary).alias("output2"))).alias("domestic"),
-        F.to_json(F.struct(F.coalesce("ovr", F.array()).alias("output1"), F.struct((F.col("n") * 1000).cast("string").alias("frcr_pchs_amt1")).alias("output2"))).alias("overseas"),
+        F.to_json(F.struct(F.coalesce("ovr", F.array()).alias("output1"), bought.alias("output2"))).alias("overseas"),
     )
 
 
 define(
     "acash",
-    """SELECT c_nationkey AS account, greatest(0, CASE WHEN c_nationkey % 3 = 2 THEN CAST('1' || CAST(CAST(bal AS DECIMAL(20,2)) AS VARCHAR) AS DOUBLE) ELSE bal END - c_nationkey * 1000) AS cash_krw,
-bal AS nass_krw, c_nationkey * 1000.0 AS ovr_purchase_krw FROM (SELECT c_nationkey, round(sum(c_acctbal), 2) AS bal FROM customer GROUP BY 1)""",
+    """SELECT c_custkey AS account, greatest(0, CASE WHEN c_custkey % 3 = 2 THEN CAST('1' || CAST(CAST(bal AS DECIMAL(20,2)) AS VARCHAR) AS DOUBLE) ELSE bal END - c_custkey % 25 * 100) AS cash_krw,
+bal AS nass_krw, c_custkey % 25 * 100.0 AS ovr_purchase_krw FROM (SELECT c_custkey, round(abs(c_acctbal), 2) AS bal FROM customer)""",
 )
 define(
     "apos",
-    """SELECT s_nationkey AS account, CASE WHEN s_suppkey % 2 = 0 THEN 'KOSPI' ELSE 'NASDAQ' END AS market,
-CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'U' END || CAST(s_suppkey AS VARCHAR) AS ticker, s_suppkey % 7 AS qty, round(s_acctbal, 2) AS mark FROM supplier WHERE s_suppkey % 7 <> 0""",
+    """SELECT o_custkey AS account, CASE WHEN o_orderkey % 2 = 0 THEN 'KOSPI' ELSE 'NASDAQ' END AS market,
+CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'U' END || CAST(o_orderkey AS VARCHAR) AS ticker, o_orderkey % 7 AS qty, round(o_totalprice, 2) AS mark FROM orders WHERE o_orderkey % 7 <> 0""",
 )
 
 

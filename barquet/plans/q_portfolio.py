@@ -8,6 +8,7 @@ from barquet.functions import indicators as ind
 from barquet.operators import ledger
 from barquet.operators import portfolio as pf
 from barquet.operators import returns as rt
+from barquet.operators.scan import PART, in_order, with_position
 from barquet.plans.q_index import _ew
 from barquet.plans.q_ledger import COMMISSION
 from barquet.plans.q_signals import WEIGHTS
@@ -275,11 +276,9 @@ def pf4(spark, sf):
 
 @query("pf14_canonical_order", sql("bars", "SELECT market, ticker, d, row_number() OVER (ORDER BY d, ticker) - 1 AS bar_index FROM bars"))
 def pf14(spark, sf):
-    from barquet.operators.scan import with_position
-
-    bars = bars_day(spark, sf).select("market", "ticker", "d").withColumn("run", F.lit("all"))
-    placed = with_position(bars, ["run"], ["d", "ticker", "market"], out="bar_index", width=1, within=F.substring("ticker", 1, 2))
-    return rounded(placed.drop("run"))
+    order = ["d", "ticker", "market"]
+    bars = in_order(bars_day(spark, sf).select("market", "ticker", "d").withColumn("run", F.lit("all")), ["run"], order)
+    return rounded(with_position(bars, ["run"], order, out="bar_index", part=PART).drop("run", PART))
 
 
 # ---- threshold grid ------------------------------------------------------------------------------------
@@ -374,6 +373,40 @@ def ag29(spark, sf):
     return rounded(ledger.holding_periods(flags, ["strategy", "threshold"]))
 
 
+define(
+    "mflags",
+    """SELECT *, h - coalesce(lag(h) OVER (PARTITION BY market, ticker ORDER BY ts), 0) AS turn, row_number() OVER (PARTITION BY market ORDER BY ts, ticker) - 1 AS bi, count(*) OVER (PARTITION BY market) AS n
+FROM (SELECT market, ticker, date_trunc('minute', ts) AS ts, CASE WHEN arg_max(px, row(ts, event_id)) > arg_min(px, row(ts, event_id)) OR max(px) > 50 THEN 1 ELSE 0 END AS h FROM ticks GROUP BY ALL)""",
+    ("ticks",),
+)
+
+
+def _minute_flags(spark, sf):
+    """Minute bars held after a rise or above a level; the run is the market."""
+    bars = bars_hour(spark, sf, "minute")
+    weight = F.when((F.col("close") > F.col("open")) | (F.col("high") > 50), 1.0).otherwise(0.0)
+    flags = ledger.open_flags(bars.select("market", "ticker", "ts", weight.alias("weight")))
+    return in_order(flags, ["market"], ["ts", "ticker"])
+
+
+@query(
+    "ag28_exposure_minutes",
+    sql("mflags", """SELECT market, round(avg(CASE WHEN o > 0 THEN 1.0 ELSE 0.0 END), 8) AS exposure
+FROM (SELECT market, sum(turn) OVER (PARTITION BY market ORDER BY bi) AS o FROM mflags) GROUP BY market"""),
+)
+def ag28_minutes(spark, sf):
+    return rounded(ledger.exposure(_minute_flags(spark, sf), ["market"], ["ts", "ticker"]))
+
+
+@query(
+    "ag29_holding_minutes",
+    sql("mflags", """SELECT market, count(*) AS holdings, round(avg(coalesce(nx, n) - bi), 8) AS avg_holding
+FROM (SELECT *, lead(bi) OVER (PARTITION BY market, ticker ORDER BY bi) AS nx FROM mflags WHERE turn <> 0) WHERE turn = 1 GROUP BY market"""),
+)
+def ag29_minutes(spark, sf):
+    return rounded(ledger.holding_periods(_minute_flags(spark, sf), ["market"], ["ts", "ticker"], ["ticker"]))
+
+
 @query(
     "pf11_sleeves",
     sql("ge", "SELECT ts, round(sum(equity) * 0.5, 2) AS equity FROM ge WHERE strategy IN ('trend', 'reversion') AND threshold = 0.2 GROUP BY ts"),

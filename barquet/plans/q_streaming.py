@@ -11,13 +11,17 @@ from barquet.operators.scan import SYMBOL
 from barquet.plans.q_news import DOWN, UP
 from barquet.plans.registry import query, rounded
 from barquet.plans.views import with_views as sql
-from barquet.session import run_folder
+from barquet.session import run_folder, staged
 from barquet.sources.bridge import bars_day, bars_hour, news, table
 from barquet.streaming import bars as st
 from barquet.streaming import state
 from barquet.streaming.run import drain_to_table, read_table
 
 
+#: Arrivals that a derived input is cut into; each is one batch.
+SLICES = 4
+
+
 def _tick_stream(spark, sf):
     events = read_table(spark, f"{sf}/events.parquet")
     return events.select(
@@ -26,11 +30,44 @@ def _tick_stream(spark, sf):
     )
 
 
-def _bar_stream(spark, sf):
-    """Hourly bars written once, then read as a stream."""
-    folder = run_folder(spark, "hours")
-    bars_hour(spark, sf).write.parquet(folder)
-    return read_table(spark, folder)
+def _arriving(inputs, drain, closing=0):
+    """Let tables arrive in ``SLICES`` stretches of time; after each, drain what is new from one checkpoint.
+
+    ``inputs`` lists (rows, time column), all cut at the same times, those of the first table's span.
+    ``drain(*streams)`` gives the function that drains them and returns the result so far. ``closing``
+    adds an arrival of one row so many days later, of no key, which moves the watermark on.
+    """
+    rows, order = inputs[0]
+    spark = rows.sparkSession
+    span = staged(rows.agg(F.unix_micros(F.min(order)).alias("a"), F.unix_micros(F.max(order)).alias("b")), "span")
+    low, high = span.select("a").scalar(), span.select("b").scalar()
+    cuts = []
+    for rows, order in inputs:
+        at = F.floor((F.unix_micros(order) - low) * SLICES / F.greatest(high - low, F.lit(1)))
+        cut = staged(rows.withColumn("_slice", F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), at))), "arriving")
+        later = F.timestamp_micros(high + closing * 86_400_000_000)
+        # text keys are empty and not null: a join drops rows of null keys before it sees their time
+        last = span.select(*[(later if c == order else F.lit("" if t == "string" else None).cast(t)).alias(c) for c, t in rows.dtypes])
+        cuts.append((cut, last, run_folder(spark, "arrived")))
+    run = None
+    for i in range(SLICES + (closing > 0)):
+        for cut, last, folder in cuts:
+            part = cut.filter(F.col("_slice") == i).drop("_slice") if i < SLICES else last
+            part.write.mode("append").parquet(folder)
+        if run is None:
+            run = drain(*[read_table(spark, folder, schema=rows.schema) for (rows, _), (_, _, folder) in zip(inputs, cuts, strict=True)])
+        result = run()
+    return result
+
+
+def _to_table(stream, name):
+    """Drains of a stream that go on in one table."""
+    folder, checkpoint = run_folder(stream.sparkSession, name), run_folder(stream.sparkSession, f"{name}-state")
+    return lambda: drain_to_table(stream, name, folder, checkpoint)
+
+
+def _hours(spark, sf):
+    return [(staged(bars_hour(spark, sf)), "ts")]
 
 
 @query(
@@ -42,10 +79,13 @@ def str1(spark, sf):
     return rounded(drain_to_table(st.closed_bars(_tick_stream(spark, sf)), "bars"), 6)
 
 
-@query("str2_streaming_indicator", sql("i_ma_cross", "SELECT market, ticker, ts, round(score, 6) + 0.0 AS score FROM i_ma_cross"))
+@query(
+    "str2_streaming_indicator",
+    sql("isig", "SELECT source, market, ticker, ts, round(score, 6) + 0.0 AS score, round(confidence, 6) AS confidence, '5d' AS horizon FROM isig"),
+)
 def str2(spark, sf):
-    out = drain_to_table(state.window_scores(_bar_stream(spark, sf), state.moving_average_score()), "scores")
-    return rounded(out.filter("score IS NOT NULL"), 6)
+    wide = _arriving(_hours(spark, sf), lambda bars: state.framed_stream(bars, ind.indicator_columns(ind.INDICATORS)))
+    return rounded(ind.signal_rows(wide).drop("close"), 6)
 
 
 @query(
@@ -58,15 +98,24 @@ SELECT market, ticker, ts, round(CASE WHEN pos >= 14 THEN atr END, 6) AS atr, ro
  FROM g JOIN w ON w.market = g.market AND w.ticker = g.ticker AND w.pos = g.pos + 1) SELECT * FROM g)"""),
 )
 def str3(spark, sf):
-    return rounded(drain_to_table(state.ranges(_bar_stream(spark, sf)), "ranges"), 6)
+    return rounded(_arriving(_hours(spark, sf), lambda bars: _to_table(state.ranges(bars), "ranges")), 6)
 
 
-@query("str4_fill_dedupe", sql("", "SELECT DISTINCT l_orderkey AS order_id, o_orderpriority AS priority FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey"))
+@query(
+    "str4_fill_dedupe",
+    sql("", """SELECT order_id, line, qty, price, ts, o_orderpriority AS priority FROM (SELECT l_orderkey AS order_id, l_linenumber AS line, l_quantity AS qty, l_extendedprice AS price, CAST(l_shipdate AS TIMESTAMP) AS ts,
+ row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_quantity, l_extendedprice) AS i FROM lineitem) LEFT JOIN orders ON o_orderkey = order_id WHERE i = 1"""),
+)
 def str4(spark, sf):
-    items = read_table(spark, f"{sf}/lineitem.parquet")
-    fills = items.select(F.col("l_orderkey").alias("order_id"), F.col("l_quantity").alias("qty"), F.col("l_shipdate").cast("timestamp").alias("ts"))
+    fills = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"),
+        F.col("l_extendedprice").alias("price"), F.col("l_shipdate").cast("timestamp").alias("ts"),
+    )
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("priority"))
-    return drain_to_table(st.first_fills(fills, orders), "fills").select("order_id", "priority")
+    first = ("ts", "line", "qty", "price")
+    # an order's lines lie years apart here, so its broker id is remembered for that long
+    kept = _arriving([(fills, "ts")], lambda x: _to_table(st.first_fills(x, orders, "4000 days", order=first), "first"), closing=8000)
+    return rounded(kept)
 
 
 @query(
@@ -89,9 +138,10 @@ round(least(1, max(w * confidence)), 8) AS confidence FROM known GROUP BY market
 )
 def str6(spark, sf):
     items = nw.scored_once(news(spark, sf), lambda t: keyword_sentiment(t, UP, DOWN))
-    folder = run_folder(spark, "news")
-    items.write.parquet(folder)
-    out = st.news_signals(spark, _bar_stream(spark, sf), spark.read.parquet(folder))
+    items = items.select(*SYMBOL, F.col("published_at"), "score", "confidence")
+    hours = staged(bars_hour(spark, sf).select(*SYMBOL, "ts"))
+    both = [(hours, "ts"), (items, "published_at")]
+    out = _arriving(both, lambda bars, news_: _to_table(st.news_signals(bars, news_), "signals"), closing=30)
     return rounded(out.select("market", "ticker", "ts", "score", "confidence"))
 
 
@@ -102,21 +152,20 @@ NULL::DOUBLE AS move FROM hours WHERE hour(ts) % 7 < 2 OR volume = 1
 UNION ALL SELECT market, ticker, ts, 'PRICE_JUMP', round(move, 6) FROM (SELECT *, close / lag(close) OVER (PARTITION BY market, ticker ORDER BY ts) - 1 AS move FROM hours) WHERE abs(move) > 0.5"""),
 )
 def str7(spark, sf):
-    stream = _bar_stream(spark, sf)
     # sound bars, edited: a negative open, a high below the low, no volume
     kind = F.hour("ts") % 7
-    thin = stream.withColumns(
-        {
-            "volume": F.col("volume") - 1,
-            "open": F.when(kind == 0, -F.col("open")).otherwise(F.col("open")),
-            "high": F.when(kind == 1, F.col("low") * 0.5).otherwise(F.col("high")),
-        }
-    )
-    rows = drain_to_table(st.flagged_rows(thin).filter("issue IS NOT NULL").select(*SYMBOL, "ts", "issue"), "flags")
-    moves = drain_to_table(state.jumps(stream), "jumps")
-    return rounded(
-        rows.withColumn("move", F.lit(None).cast("double")).unionByName(moves.withColumn("issue", F.lit("PRICE_JUMP"))), 6
-    )
+    edits = {
+        "volume": F.col("volume") - 1,
+        "open": F.when(kind == 0, -F.col("open")).otherwise(F.col("open")),
+        "high": F.when(kind == 1, F.col("low") * 0.5).otherwise(F.col("high")),
+    }
+
+    def drains(bars):
+        flags = st.flagged_rows(bars.withColumns(edits)).filter("issue IS NOT NULL").select(*SYMBOL, "ts", "issue")
+        rows, moves = _to_table(flags, "flags"), _to_table(state.jumps(bars), "jumps")
+        return lambda: rows().withColumn("move", F.lit(None).cast("double")).unionByName(moves().withColumn("issue", F.lit("PRICE_JUMP")))
+
+    return rounded(_arriving(_hours(spark, sf), drains), 6)
 
 
 @query(
@@ -134,13 +183,39 @@ def str8(spark, sf):
     return st.job_staleness(spark, beats, expected, F.lit("2024-01-31").cast("timestamp"))
 
 
+@query(
+    "str8_silence_alarms",
+    sql("", """WITH g AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > hours * 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY component ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM (
+SELECT user_id AS component, ts, 24 * (1 + user_id % 5) AS hours, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events JOIN customer ON c_custkey = user_id)),
+s AS (SELECT component, min(ts) AS first, max(ts) AS last, count(*) AS beats, max(ts) + to_hours(CAST(max(hours) AS BIGINT)) AS silent_since FROM g GROUP BY component, i)
+SELECT * FROM s WHERE silent_since < (SELECT max(ts) FROM g) - INTERVAL 10 MINUTE"""),
+)
+def str8_alarms(spark, sf):
+    beats = table(spark, sf, "events").select(F.col("user_id").alias("component"), F.col("ts").cast("timestamp").alias("ts"))
+    expected = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("component"), (F.lit(24.0) * (1 + F.col("c_custkey") % 5)).alias("max_age_hours")
+    )
+    return rounded(_arriving([(beats, "ts")], lambda x: _to_table(st.silences(x.join(expected, "component")), "alarms")))
+
+
 @query(
     "str9_batch_stream_parity",
-    sql("i_rsi_reversion", "SELECT count(*) AS bars, 0 AS different FROM i_rsi_reversion"),
+    sql("isig", "SELECT source, count(*) AS bars, 0 AS different FROM isig GROUP BY source UNION ALL SELECT 'technical', count(*), 0 FROM hh WHERE pos >= 50"),
 )
 def str9(spark, sf):
-    live = drain_to_table(state.window_scores(_bar_stream(spark, sf), state.rsi_score()), "rsi").filter("score IS NOT NULL")
-    batch = ind.indicator_signals(bars_hour(spark, sf), ["rsi_reversion"]).select(*SYMBOL, "ts", F.col("score").alias("batch"))
-    both = live.join(batch, [*SYMBOL, "ts"], "full_outer")
-    off = F.col("score").isNull() | F.col("batch").isNull() | (F.abs(F.col("score") - F.col("batch")) > 1e-9)
-    return both.agg(F.count(F.lit(1)).alias("bars"), F.count_if(off).alias("different"))
+    (short, one), (long, two) = ind.indicator_columns(ind.INDICATORS), ind.combined_columns()
+    step = (max(short, long), lambda df, f: two(one(df, f), f))
+    hours = _hours(spark, sf)
+    wide = staged(_arriving(hours, lambda bars: state.framed_stream(bars, step)))
+    hours = hours[0][0]
+
+    def rows(signals, technical):
+        kept = ["source", *SYMBOL, "ts", "score", "confidence"]
+        return signals.select(*kept).unionByName(technical.select(*kept))
+
+    live = rows(ind.signal_rows(wide), ind.combined_rows(wide))
+    batch = rows(ind.indicator_signals(hours), ind.combined_technical(hours))
+    batch = batch.withColumnsRenamed({"score": "b_score", "confidence": "b_confidence"})
+    both = live.join(batch, ["source", *SYMBOL, "ts"], "full_outer")
+    off = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"b_{c}")) > 1e-9, F.lit(True))
+    return both.groupBy("source").agg(F.count(F.lit(1)).alias("bars"), F.count_if(off("score") | off("confidence")).alias("different"))

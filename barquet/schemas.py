@@ -153,3 +153,15 @@ OVERSEAS_BALANCE = T.StructType(
         T.StructField("output2", _strings("frcr_pchs_amt1")),
     ]
 )
+
+#: A company-concept body: units in the order they stand, each with its points. All fields are text, so that
+#: one bad point does not spoil its list.
+CONCEPT_BODY = T.StructType([
+    T.StructField(
+        "units",
+        T.MapType(
+            T.StringType(),
+            T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("start", "end", "filed", "val", "fy", "form")])),
+        ),
+    )
+])

@@ -93,12 +93,12 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bars_hour(spark: SparkSession, sf: str) -> DataFrame:
-    """Hourly bars per event type."""
+def bars_hour(spark: SparkSession, sf: str, unit: str = "hour") -> DataFrame:
+    """Bars of one hour (or another ``unit``) per event type."""
     key = F.struct("ts", "event_id")
     return (
         ticks(spark, sf)
-        .groupBy("market", "ticker", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("h"))
+        .groupBy("market", "ticker", F.date_trunc(unit, F.col("ts").cast("timestamp")).alias("h"))
         .agg(
             F.min_by("px", key).alias("open"),
             F.max("px").alias("high"),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barquet.operators.scan import SYMBOL
+from barquet.sources.bars import STORED, dated, stored_bars
 
 STALE_DAYS = 5
 
@@ -32,10 +33,12 @@ def new_rows(log: DataFrame, rows: DataFrame, key: Sequence[str], order: str | N
 def first_n(df: DataFrame, n: int, group: Sequence[str], order: Sequence[Column | str], out: str = "rank") -> DataFrame:
     """The first n rows of each group, in two steps: of every salted part, then of what these keep.
 
-    The final rank sees at most ``SALTS`` * n rows of a group. Salts steer balance only.
+    The final rank sees at most ``SALTS`` * n rows of a group. A row's salt is a hash of its values, so it is
+    the same when a task runs again; salts steer balance only.
     """
     group = list(group)
-    salted = df.withColumn("_salt", F.monotonically_increasing_id() % SALTS)
+    values = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*values), F.lit(SALTS)))
     part = W.partitionBy(*group, "_salt").orderBy(*order)
     some = salted.withColumn("_part", F.row_number().over(part)).filter(F.col("_part") <= n).drop("_salt", "_part")
     w = W.partitionBy(*group).orderBy(*order)
@@ -146,21 +149,25 @@ def content_hashes(bars: DataFrame, keys: Sequence[str] = ("market",)) -> DataFr
 
 
 def manifest(bars: DataFrame, provider: str = "research", adjustment: str = "adjusted") -> DataFrame:
-    """One row per market: symbols, span, size, hash, how it was made."""
-    facts = bars.groupBy("market").agg(
-        F.min("d").alias("start_date"), F.max("d").alias("end_date"), F.count(F.lit(1)).alias("n_bars"),
-    )
-    names = bars.select("market", "ticker").distinct().groupBy("market").agg(
-        F.sort_array(F.collect_list("ticker")).alias("symbols"), F.count(F.lit(1)).alias("n_symbols")
+    """One row per market: span, sizes, hash, how it was made. Its symbols are rows of ``manifest_symbols``."""
+    each = manifest_symbols(bars).groupBy("market").agg(
+        F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"),
+        F.sum("n_bars").alias("n_bars"), F.count(F.lit(1)).alias("n_symbols"),
     )
     return (
-        facts.join(names, "market")
-        .join(content_hashes(bars), "market")
+        each.join(content_hashes(bars), "market")
         .withColumn("provider", F.lit(provider))
         .withColumn("adjustment", F.lit(adjustment))
     )
 
 
+def manifest_symbols(bars: DataFrame) -> DataFrame:
+    """One row per market and symbol, in place of a list that grows with the market."""
+    return bars.groupBy(*SYMBOL).agg(
+        F.min("d").alias("start_date"), F.max("d").alias("end_date"), F.count(F.lit(1)).alias("n_bars")
+    )
+
+
 def verify(stored: DataFrame, bars: DataFrame) -> DataFrame:
     """Whether bars still match the hash in their manifest."""
     now = content_hashes(bars).withColumnRenamed("content_hash", "_now")
@@ -186,6 +193,53 @@ def gated_update(prior: DataFrame, fetched: DataFrame, verdicts: DataFrame) -> t
     return kept.unionByName(good.select(*kept.columns)), status
 
 
+def _path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job has written ``path`` to its end."""
+    place, files = _path(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def store_update(spark: SparkSession, path: str, fetched: DataFrame, verdicts: DataFrame, update: str) -> DataFrame:
+    """Bring a gated update into the bars stored below ``path`` (as by ``save_bars``); the status per symbol.
+
+    First the new content of the touched partitions (market and year of what changes) is written below
+    ``path/_updates/<update>``; its completion is the commit. Then it overwrites those partitions, the
+    others keep their files, and partitions left without bars go. Whenever a run dies, calling again with
+    the same ``update`` gives the same table: before the commit nothing stored has changed, after it the
+    second step is repeated from what was written. Let one update end before the next begins.
+    """
+    place = f"{path}/_updates/{update}"
+    keys = [*SYMBOL]
+    parts = ["market", "year"]
+    if not _complete(spark, f"{place}/touched"):
+        stored = stored_bars(spark, path)
+        coming = dated(fetched).select(*stored.columns)
+        _, status = gated_update(stored, coming, verdicts)
+        status.write.mode("overwrite").parquet(f"{place}/status")
+        status = spark.read.schema(status.schema).parquet(f"{place}/status")
+        passed = status.filter("status = 'ok'").select(*keys)
+        new = coming.join(passed, keys, "left_semi")
+        gone = stored.join(passed, keys, "left_semi")
+        touched = new.select(*parts).unionByName(gone.select(*parts)).distinct()
+        kept = stored.join(touched, parts, "left_semi").join(passed, keys, "left_anti")
+        rows = kept.select(*stored.columns).unionByName(new.select(*stored.columns))
+        rows.hint("rebalance", *parts).write.mode("overwrite").partitionBy(*parts).parquet(f"{place}/bars")
+        left = rows.select(*parts).distinct().withColumn("left", F.lit(True))
+        # one row per market and year
+        touched.join(left, parts, "left").write.mode("overwrite").parquet(f"{place}/touched")
+    rows = spark.read.schema(STORED).parquet(f"{place}/bars")
+    rows.hint("rebalance", *parts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    for r in spark.read.parquet(f"{place}/touched").filter("left IS NULL").toLocalIterator():
+        folder, files = _path(spark, f"{path}/market={r['market']}/year={r['year']}")
+        files.delete(folder, True)
+    return spark.read.parquet(f"{place}/status")
+
+
 def ingest_class(now: Column, stale_days: int = STALE_DAYS) -> Column:
     """done / pending / cooldown / error / quality_fail of one symbol's state."""
     cooling = F.col("cooldown_until").isNotNull() & (F.col("cooldown_until") > now)

@@ -110,6 +110,28 @@ def load_fundamentals(spark: SparkSession, path: str) -> DataFrame:
     ).dropna()
 
 
+def concept_points(bodies: DataFrame, keys: Sequence[str], body: str = "body", units: Sequence[str] = ("USD", "shares")) -> DataFrame:
+    """Points of raw company-concept bodies, one body per row: keys, unit, seq, start, period_end, filed, val, fy, form.
+
+    A body maps units to lists of points. The first of ``units`` it has counts (even an empty list), else the
+    unit that stands first; ``seq`` is its place. A body that is no such object has no points; a point
+    without a usable end, filing date or value is left out. Nothing is shuffled.
+    """
+    parsed = bodies.select(*keys, F.from_json(body, schemas.CONCEPT_BODY)["units"].alias("_u")).filter(F.size("_u") > 0)
+    names = F.map_keys("_u")
+    unit = F.coalesce(*[F.when(F.array_contains(names, u), F.lit(u)) for u in units], F.get(names, F.lit(0)))
+    chosen = parsed.select(*keys, unit.alias("unit"), (F.array_position(names, unit) - 1).alias("seq"), F.explode(F.col("_u")[unit]).alias("p"))
+    return chosen.select(
+        *keys, "unit", "seq",
+        F.col("p.start").try_cast("date").alias("start"),
+        F.col("p.end").try_cast("date").alias("period_end"),
+        F.col("p.filed").try_cast("date").alias("filed"),
+        F.col("p.val").try_cast("double").alias("val"),
+        F.col("p.fy").try_cast("int").alias("fy"),
+        F.col("p.form").alias("form"),
+    ).dropna(subset=["period_end", "filed", "val"])
+
+
 def preferred_series(points: DataFrame, keys: Sequence[str], units: Sequence[str] = ("USD", "shares"),
                      concepts: Sequence[str] | None = None) -> DataFrame:
     """Per key the points of one series only: the first concept with data, and in it the preferred unit.
@@ -155,8 +177,8 @@ def load_constituents(spark: SparkSession, path: str) -> DataFrame:
 def load_jsonl(spark: SparkSession, path: str, schema, required: str) -> DataFrame:
     """JSON lines; malformed lines and rows without the required key are skipped.
 
-    A line is judged whole, whatever columns are asked for later. ``line`` grows with the place of
-    the line, file by file.
+    A line is judged whole, whatever columns are asked for later. ``line`` orders the lines as reading the
+    files one by one in order of their paths would: it is (path, start of the split, place in the split).
     """
     broken = "_corrupt_record"
     if isinstance(schema, str):
@@ -165,7 +187,12 @@ def load_jsonl(spark: SparkSession, path: str, schema, required: str) -> DataFra
         "value", T.StructType([*schema.fields, T.StructField(broken, T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": broken},
     )
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    # the id grows within a split, whatever splits a task reads; across splits the file's own facts decide
+    line = F.struct(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    lines = spark.read.text(path).select("value", line.alias("line"))
     read = lines.select("line", parsed.alias("r")).filter(
         F.col(f"r.{broken}").isNull() & F.col(f"r.{required}").isNotNull()
     )

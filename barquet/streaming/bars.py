@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barquet.operators import news as nw
+from barquet.functions.columns import clamp
 from barquet.operators.quality import nonpositive, ohlc_broken
 from barquet.operators.recon import stale_jobs
 from barquet.operators.scan import SYMBOL
@@ -33,10 +33,19 @@ def closed_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "10 minute
     )
 
 
-def first_fills(fills: DataFrame, orders: DataFrame, delay: str = "1 day", key: str = "order_id") -> DataFrame:
-    """The first fill per broker order id, with the order it belongs to; later ones are ignored."""
-    once = fills.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
-    return once.join(orders, key, "left")
+def first_fills(
+    fills: DataFrame, orders: DataFrame, horizon: str = "1 day", delay: str = "10 minutes", key: str = "order_id",
+    order: Sequence[str] = ("ts",),
+) -> DataFrame:
+    """The first fill per broker order id by ``order``, whole, with the order it belongs to; later ones are ignored.
+
+    Fills of an order that lie less than ``horizon`` apart are one session of it. A session's state is its
+    first fill only, wherever in the stream that comes; it is given out and dropped when the watermark has
+    passed the horizon, so what is kept does not depend on the order of arrival.
+    """
+    first = F.min_by(F.struct(*fills.columns), F.struct(*order)).alias("f")
+    sessions = fills.withWatermark("ts", delay).groupBy(key, F.session_window("ts", horizon).alias("_s")).agg(first)
+    return sessions.select("f.*").join(orders, key, "left")
 
 
 def append_finished(
@@ -69,28 +78,31 @@ def append_finished(
 
 
 def news_signals(
-    spark: SparkSession, bars: DataFrame, items: DataFrame, lookback_days: float = 7.0, half_life_days: float = 3.0,
-    order: str = "ts", name: str = "news",
+    bars: DataFrame, items: DataFrame, lookback_days: float = 7.0, half_life_days: float = 3.0, delay: str = "10 minutes", order: str = "ts",
 ) -> DataFrame:
-    """News signal for a stream of bars against the table of scored news.
+    """News signal per bar from a stream of bars and a stream of scored news.
 
-    Each batch reads only the news within the lookback of its bars and runs the batch operator, so
-    no bar-item pairs are kept in state.
+    An interval join meets each bar with its symbol's items of the lookback. Items leave the state
+    when bars are a lookback ahead of them, bars when news has caught up with them. A bar's signal
+    is given out once the watermark of both streams is a lookback past it: news in later files counts.
     """
-    folder = run_folder(spark, name)
-
-    def score(batch: DataFrame, batch_id: int) -> None:
-        span = batch.agg(
-            F.min(order).alias("a"), F.max(order).alias("b")
-        ).select((F.col("a") - F.expr(f"INTERVAL {int(lookback_days * 24)} HOURS")).alias("a"), "b").first()
-        if span["a"] is None:
-            return
-        near = items.filter((F.col("published_at") >= F.lit(span["a"])) & (F.col("published_at") <= F.lit(span["b"])))
-        out = nw.news_signal(near, batch, lookback_days, half_life_days, order)
-        out.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-
-    drain_batches(bars, name, score)
-    return spark.read.parquet(folder + "/batch=*")
+    span = F.expr(f"INTERVAL {int(lookback_days * 86_400)} SECONDS")
+    left = bars.select(*SYMBOL, order).withWatermark(order, delay).alias("b")
+    right = items.select(*SYMBOL, "published_at", "score", "confidence").withWatermark("published_at", delay).alias("i")
+    at, born = F.col(f"b.{order}"), F.col("i.published_at")
+    met = left.join(
+        right,
+        (F.col("b.market") == F.col("i.market")) & (F.col("b.ticker") == F.col("i.ticker")) & (born <= at) & (born >= at - span),
+    )
+    age = (F.unix_micros(at) - F.unix_micros(born)) / F.lit(half_life_days * 86_400_000_000)
+    weight = F.pow(F.lit(0.5), age) * F.col("confidence")
+    met = met.select("b.market", "b.ticker", at.alias(order), "score", weight.alias("_w"))
+    sums = met.groupBy(*SYMBOL, order).agg(
+        F.sum(F.col("score") * F.col("_w")).alias("_num"), F.sum("_w").alias("_den"), F.max("_w").alias("_top"),
+        F.count(F.lit(1)).alias("n_items"),
+    )
+    score = F.when(F.col("_den") > 0, clamp(F.try_divide(F.col("_num"), F.col("_den")))).otherwise(0.0)
+    return sums.select(*SYMBOL, order, score.alias("score"), clamp(F.col("_top"), 0.0, 1.0).alias("confidence"), "n_items")
 
 
 def flagged_rows(bars: DataFrame) -> DataFrame:
@@ -102,6 +114,21 @@ def flagged_rows(bars: DataFrame) -> DataFrame:
     )
 
 
+def silences(beats: DataFrame, delay: str = "10 minutes", keys: Sequence[str] = ("component",), hours: str = "max_age_hours") -> DataFrame:
+    """An alarm for each time a job falls silent: (keys, first, last, beats, silent_since).
+
+    ``beats`` carries the longest allowed silence of its job in ``hours``. Beats no further apart are one
+    session with a gap of their own; the stream closes it when the watermark has passed its end, without any
+    new row of that job. A job that comes back starts a new session.
+    """
+    # a silence of exactly the allowed length is none: the gap is a microsecond longer
+    gap = F.concat(F.round(F.col(hours) * 3_600_000_000).cast("long") + 1, F.lit(" microseconds"))
+    sessions = beats.withWatermark("ts", delay).groupBy(*keys, F.session_window("ts", gap).alias("_s"))
+    return sessions.agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("beats"), F.first(hours).alias(hours)
+    ).select(*keys, "first", "last", "beats", F.timestamp_micros(F.unix_micros("_s.end") - 1).alias("silent_since"))
+
+
 def job_staleness(
     spark: SparkSession, beats: DataFrame, expected: DataFrame, now: Column, keys: Sequence[str] = ("component",), name: str = "beats"
 ) -> DataFrame:

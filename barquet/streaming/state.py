@@ -1,21 +1,26 @@
-"""Keyed state per symbol: bounded windows of closes, ATR and EWMA scalars, last close.
+"""Keyed state per symbol: the tail of its bars, ATR and EWMA scalars, last close.
 
 State per key is of fixed size, so a symbol of any length costs the same. Rows of one batch are
 put in time order per symbol; a bar not newer than the last one seen is late and is dropped. Size
 the batches with ``read_table(..., files_per_batch=n)``: a task holds one symbol's rows of a batch.
+
+Window expressions are not written a second time for streams: ``framed_stream`` keeps only the tail
+that a frame reaches back to, hands it out ahead of each batch's new bars, and runs the same step that
+``framed`` runs on a table.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from barquet.operators.scan import SYMBOL
-from barquet.streaming.run import use_rocksdb
+from barquet.operators.scan import SYMBOL, Frames
+from barquet.session import run_folder
+from barquet.streaming.run import drain_batches, use_rocksdb
 
 
 class _InOrder(StatefulProcessor):
@@ -45,24 +50,31 @@ class _InOrder(StatefulProcessor):
         pass
 
 
-class WindowState(_InOrder):
-    """Last ``size`` closes per symbol and a function of them per bar (NULL until ``need`` are there)."""
+class TailState(_InOrder):
+    """The last ``size`` bars of a symbol and how many there were, as one array per column.
+
+    Each batch comes out as tail and new bars in order, with their positions; ``_own`` marks the new ones.
+    """
 
-    def __init__(self, size: int, need: int, score: Callable[[Sequence[float]], float | None]):
-        self.size, self.need, self.score = size, need, score
+    def __init__(self, size: int, columns: tuple[str, ...] = ("close",)):
+        self.size, self.columns = size, columns
 
     def open_state(self, handle) -> None:
-        self.closes = handle.getListState("closes", "c double")
+        arrays = ", ".join(f"{c} array<double>" for c in self.columns)
+        self.tail = handle.getValueState("tail", f"seen long, ts array<long>, {arrays}")
 
     def step(self, rows: pd.DataFrame) -> pd.DataFrame:
-        window = [c[0] for c in self.closes.get()] if self.closes.exists() else []
-        scores = []
-        for close in rows["close"]:
-            window.append(float(close))
-            del window[: -self.size]
-            scores.append(self.score(window) if len(window) >= self.need else None)
-        self.closes.put([(c,) for c in window])
-        return rows[[*SYMBOL, "ts"]].assign(score=pd.array(scores, dtype="Float64"))
+        seen, *old = self.tail.get() if self.tail.exists() else (0, [], *[[] for _ in self.columns])
+        new = [rows["ts"].astype("datetime64[us]").astype("int64"), *[rows[c] for c in self.columns]]
+        kinds = [np.int64, *[np.float64] * len(self.columns)]
+        both = [np.concatenate([np.asarray(o, k), n.to_numpy(k)]) for o, n, k in zip(old, new, kinds)]
+        self.tail.update((int(seen) + len(rows), *[x[-self.size :].tolist() for x in both]))
+        back = len(old[0])
+        at = np.arange(len(both[0]))
+        out = pd.DataFrame({"ts": pd.to_datetime(both[0], unit="us"), "pos": seen - back + at, "_own": at >= back})
+        for name, values in zip(self.columns, both[1:]):
+            out[name] = values
+        return out.assign(**{k: rows[k].iloc[0] for k in SYMBOL})
 
 
 class RangeState(_InOrder):
@@ -126,27 +138,30 @@ def _apply(bars: DataFrame, processor: StatefulProcessor, schema: str) -> DataFr
 KEYS = "market string, ticker string, ts timestamp"
 
 
-def moving_average_score(fast: int = 10, slow: int = 30, k: float = 20.0) -> tuple[int, int, Callable]:
-    def score(window: Sequence[float]) -> float | None:
-        f, s = sum(window[-fast:]) / fast, sum(window[-slow:]) / slow
-        return None if s == 0 else max(-1.0, min(1.0, (f - s) / s * k))
-
-    return slow, slow, score
-
+def framed_stream(
+    bars: DataFrame, step: tuple[int, Callable[[DataFrame, Frames], DataFrame]], columns: tuple[str, ...] = ("close",), name: str = "frames"
+) -> Callable[[], DataFrame]:
+    """A function that runs a step of window expressions (how far it looks back, and its columns) over what
+    has arrived since it was last called, and returns the table written so far.
 
-def rsi_score(period: int = 14) -> tuple[int, int, Callable]:
-    def score(window: Sequence[float]) -> float:
-        moves = [b - a for a, b in zip(window[-period - 1 :], window[-period:])]
-        ups, downs = math.fsum(m for m in moves if m > 0), math.fsum(-m for m in moves if m < 0)
-        rsi = 100.0 if downs == 0 else 100.0 - 100.0 / (1.0 + ups / downs)
-        return max(-1.0, min(1.0, (50.0 - rsi) / 50.0))
+    Each batch is its own folder, so a repeated batch overwrites itself.
+    """
+    back, build = step
+    spark = bars.sparkSession
+    folder, checkpoint = run_folder(spark, name), run_folder(spark, f"{name}-state")
+    doubles = ", ".join(f"{c} double" for c in columns)
+    schema = f"ts timestamp, pos long, _own boolean, {doubles}, market string, ticker string"
+    tails = _apply(bars.select(*SYMBOL, "ts", *columns), TailState(back, columns), schema)
 
-    return period + 1, period + 1, score
+    def run(batch: DataFrame, batch_id: int) -> None:
+        built = build(batch, Frames(SYMBOL)).filter("_own").drop("_own")
+        built.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
+    def drain() -> DataFrame:
+        drain_batches(tails, name, run, checkpoint=checkpoint)
+        return spark.read.parquet(folder + "/batch=*")
 
-def window_scores(bars: DataFrame, spec: tuple[int, int, Callable]) -> DataFrame:
-    """Score per bar of a stream (market, ticker, ts, close) from a bounded window of closes."""
-    return _apply(bars.select(*SYMBOL, "ts", "close"), WindowState(*spec), f"{KEYS}, score double")
+    return drain
 
 
 def ranges(bars: DataFrame, period: int = 14, lam: float = 0.94) -> DataFrame:

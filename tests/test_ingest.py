@@ -11,18 +11,16 @@ from barquet.sources import ingest, text
 D = dt.date.fromisoformat
 
 
-def on(spark, days, volume=1):
-    return bars_frame(spark, [("M", "T", D(d), 1.0, 1.0, 1.0, 1.0, volume) for d in days])
-
-
 def test_append_only_finished_bars(spark):
-    existing = on(spark, ["2026-06-20", "2026-06-21"])
-    fetched = on(spark, ["2026-06-19", "2026-06-21", "2026-06-22", "2026-06-22", "2026-06-23", "2026-06-24"], 9)
-    fetched = fetched.withColumn("seq", F.monotonically_increasing_id())
-    got = ingest.append_bars(existing, fetched, "2026-06-24", "seq").orderBy("d").collect()
-    assert [str(r["d"]) for r in got] == ["2026-06-20", "2026-06-21", "2026-06-22", "2026-06-23"]
-    again = ingest.append_bars(spark.createDataFrame(got, existing.schema), fetched, "2026-06-24", "seq")
-    assert again.count() == 4
+    """Two symbols, days missing on either side, late and repeated arrivals, one bar of the current day."""
+    bars = "market string, ticker string, d date, close double"
+    existing = spark.createDataFrame([("M", "P", day(3), 1.0), ("M", "P", day(8), 1.0), ("M", "Q", day(5), 1.0)], bars)
+    arrivals = [("P", 4, 7.0), ("P", 11, 7.1), ("P", 9, 7.2), ("P", 11, 7.3), ("Q", 5, 8.0), ("Q", 6, 8.1), ("Q", 12, 8.2), ("R", 1, 9.0)]
+    fetched = spark.createDataFrame([("M", t, day(i), c, n) for n, (t, i, c) in enumerate(arrivals)], bars + ", seq int")
+    got = ingest.append_bars(existing, fetched, day(12), "seq")
+    fresh = {(r["ticker"], r["d"]): r["close"] for r in got.collect() if r["close"] > 1}
+    assert fresh == {("P", day(9)): 7.2, ("P", day(11)): 7.1, ("Q", day(6)): 8.1, ("R", day(1)): 9.0}
+    assert ingest.append_bars(got, fetched, day(12), "seq").count() == got.count() == 7
 
 
 def test_bars_round_trip_and_naive_times(spark, tmp_path):
@@ -47,6 +45,8 @@ def test_content_hash_ignores_order_and_sees_changes(spark):
     changed = rows[:-1] + [rows[-1][:-1] + (999,)]
     assert h(changed) != same
     stored = ingest.manifest(bars_frame(spark, rows))
+    assert (stored.first()["n_symbols"], stored.first()["n_bars"]) == (2, 5)
+    assert [(r["ticker"], r["n_bars"]) for r in ingest.manifest_symbols(bars_frame(spark, rows)).orderBy("ticker").collect()] == [("A", 3), ("B", 2)]
     assert ingest.verify(stored, bars_frame(spark, rows[::-1])).first()["verified"]
     assert not ingest.verify(stored, bars_frame(spark, changed)).first()["verified"]
 
@@ -77,13 +77,16 @@ def test_jsonl_skips_malformed_lines(spark, tmp_path):
 
 
 def test_account_snapshot_cash_falls_back(spark):
-    dom = '{"output1":[{"pdno":" 069500 ","hldg_qty":"122","prpr":"50000"},{"pdno":"x","hldg_qty":"0","prpr":"1"}],' \
-          '"output2":[{"prvs_rcdl_excc_amt":"","nxdy_excc_amt":"900","dnca_tot_amt":"1000","nass_amt":"7000"}]}'
-    ovr = '{"output1":[{"ovrs_pdno":"SPY","ovrs_cblc_qty":"64.0","now_pric2":"500.5"}],"output2":{"frcr_pchs_amt1":"1000"}}'
-    df = spark.createDataFrame([("a", dom, ovr), ("b", '{"output1":[],"output2":[]}', "{}")], "account string, domestic string, overseas string")
-    cash, positions = text.account_snapshots(df)
-    assert {r["account"]: (r["cash_krw"], r["nass_krw"]) for r in cash.collect()} == {"a": (0.0, 7000.0), "b": (0.0, 0.0)}
-    assert sorted((r["market"], r["ticker"], r["qty"]) for r in positions.collect()) == [("KOSPI", "069500", 122), ("NASDAQ", "SPY", 64)]
+    dom = '{"output1":[{"pdno":" K77 ","hldg_qty":"31","prpr":"812.5"},{"pdno":"none","hldg_qty":"0","prpr":"4"}],' \
+          '"output2":[{"prvs_rcdl_excc_amt":"","nxdy_excc_amt":"640","dnca_tot_amt":"5150","nass_amt":"9125"}]}'
+    ovr = '{"output1":[{"ovrs_pdno":"USX","ovrs_cblc_qty":"8.0","now_pric2":"72.25"}],"output2":{"frcr_pchs_amt1":"640.5"}}'
+    late = '{"output1":[],"output2":[{"prvs_rcdl_excc_amt":"","nxdy_excc_amt":"","dnca_tot_amt":"5150","nass_amt":"1"}]}'
+    rows = [("first", dom, ovr), ("empty", '{"output1":[],"output2":[]}', "{}"), ("deposit", late, ovr)]
+    cash, positions = text.account_snapshots(spark.createDataFrame(rows, "account string, domestic string, overseas string"))
+    got = {r["account"]: (r["cash_krw"], r["nass_krw"]) for r in cash.collect()}
+    assert got == {"first": (0.0, 9125.0), "empty": (0.0, 0.0), "deposit": (4509.5, 1.0)}
+    held = sorted((r["account"], r["market"], r["ticker"], r["qty"]) for r in positions.collect())
+    assert held == [("deposit", "NASDAQ", "USX", 8), ("first", "KOSPI", "K77", 31), ("first", "NASDAQ", "USX", 8)]
 
 
 def test_fill_pages(spark):
@@ -156,3 +159,105 @@ def test_first_n(spark, n, group):
         rows.setdefault(r["g"] if group else 0, []).append((-r["v"], r["id"]))
     want = {(i, k + 1) for found in rows.values() for k, (_, i) in enumerate(sorted(found)[:n])}
     assert {(r["id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_first_n_is_the_same_whatever_the_row_order(spark):
+    """Salts are hashes of the rows, so a map task that runs again with another order gives the same rows."""
+    df = spark.range(3000).selectExpr("id", "id % 5 AS v", "map('k', id) AS m")
+    kept = [sorted(r["id"] for r in ingest.first_n(df.repartition(p), 40, [], ["v", "id"]).collect()) for p in (1, 3, 11)]
+    assert kept[0] == kept[1] == kept[2] == [5 * i for i in range(40)]
+
+
+def test_lines_of_many_splits_and_files_keep_their_order(spark, tmp_path):
+    import json
+
+    want = []
+    for name, n in (("a", 300), ("b", 7), ("c", 500)):
+        records = [json.dumps({"experiment_id": f"{name}{i}", "kind": "x" * (i % 37)}) for i in range(n)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(["{bad", *records]) + "\n")
+        want += [f"{name}{i}" for i in range(n)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        log = text.load_jsonl(spark, str(tmp_path), schemas.EXPERIMENT, "experiment_id")
+        assert log.rdd.getNumPartitions() > 10
+        assert [r["experiment_id"] for r in log.orderBy("line").collect()] == want
+        keyed = log.withColumn("k", F.substring("experiment_id", 1, 1))
+        first = ingest.new_rows(keyed.limit(0), keyed, ["k"], "line")
+        assert sorted(r["experiment_id"] for r in first.collect()) == ["a0", "b0", "c0"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_concept_bodies(spark):
+    point = '{"start": "2023-01-01", "end": "2023-03-31", "filed": "2023-04-20", "val": %s, "fy": 2023, "form": "10-Q"}'
+    bodies = [
+        ("usd", '{"cik": 1, "units": {"EUR": [%s], "USD": [%s, %s]}}' % (point % 1, point % 2, point % '"n/a"')),
+        ("shares", '{"units": {"pure": [%s], "shares": [%s]}}' % (point % 3, point % "4.5")),
+        ("other", '{"units": {"JPY": [%s], "EUR": [%s]}}' % (point % 5, point % 6)),
+        ("emptyusd", '{"units": {"USD": [], "shares": [%s]}}' % (point % 7)),
+        ("baddates", '{"units": {"USD": [{"end": "soon", "filed": "2023-04-20", "val": 1}, {"filed": "2023-04-20", "val": 1}, {"end": "2023-03-31", "filed": "2023-05-01", "val": 8}]}}'),
+        ("noobject", "<html>Not found</html>"), ("nothing", None), ("nounits", '{"cik": 1}'), ("empty", '{"units": {}}'),
+    ]
+    got = text.concept_points(spark.createDataFrame(bodies, "k string, body string"), ["k"]).collect()
+    assert sorted((r["k"], r["unit"], r["seq"], r["val"], str(r["filed"])) for r in got) == [
+        ("baddates", "USD", 0, 8.0, "2023-05-01"), ("other", "JPY", 0, 5.0, "2023-04-20"),
+        ("shares", "shares", 1, 4.5, "2023-04-20"), ("usd", "USD", 1, 2.0, "2023-04-20"),
+    ]
+    two = spark.createDataFrame(
+        [("T", "First", bodies[3][1]), ("T", "Second", bodies[2][1]), ("U", "First", bodies[0][1]), ("U", "Second", bodies[2][1])],
+        "ticker string, concept string, body string",
+    )
+    # the first concept with points: an empty preferred unit is no data, so the next concept counts
+    series = text.preferred_series(text.concept_points(two, ["ticker", "concept"]), ["ticker"], concepts=["First", "Second"])
+    assert sorted((r["ticker"], r["concept"], r["val"]) for r in series.collect()) == [("T", "Second", 5.0), ("U", "First", 2.0)]
+
+
+YEARS = ("2019", "2020", "2021")
+
+
+def _bars_of(spark, ticker, years, close, market="M"):
+    return [(market, ticker, D(f"{y}-0{m}-03"), close, close, close, close, 1) for y in years for m in (1, 5)]
+
+
+def _stored(spark, path):
+    return sorted((r["market"], r["ticker"], str(r["d"]), r["close"]) for r in rest.load_bars(spark, path).collect())
+
+
+def _files(path):
+    return {str(f.relative_to(path)) for f in path.rglob("part-*") if "_updates" not in str(f)}
+
+
+def test_an_update_touches_its_partitions_and_repeats_safely(spark, tmp_path, monkeypatch):
+    path = tmp_path / "bars"
+    old = _bars_of(spark, "A", YEARS, 1.0) + _bars_of(spark, "B", YEARS, 2.0) + _bars_of(spark, "Z", YEARS, 5.0, "N") + _bars_of(spark, "ONLY", ["2017"], 3.0)
+    frame = lambda rows: bars_frame(spark, rows).withColumn("currency", F.lit("USD"))
+    rest.save_bars(frame(old), str(path))
+    untouched = {f for f in _files(path) if "market=N" in f}
+    fetched = frame(_bars_of(spark, "A", YEARS[1:], 10.0) + _bars_of(spark, "B", YEARS, 20.0) + _bars_of(spark, "ONLY", ["2018"], 30.0) + _bars_of(spark, "NEW", YEARS[2:], 40.0))
+    verdicts = spark.createDataFrame([("M", "A", True), ("M", "B", False), ("M", "ONLY", True), ("M", "NEW", False)], "market string, ticker string, passed boolean")
+    want = sorted(
+        (m, t, str(d), c)
+        for m, t, d, _, _, _, c, _ in _bars_of(spark, "A", YEARS[1:], 10.0) + _bars_of(spark, "B", YEARS, 2.0) + _bars_of(spark, "Z", YEARS, 5.0, "N") + _bars_of(spark, "ONLY", ["2018"], 30.0)
+    )
+    before = _stored(spark, str(path))
+
+    # dies before the commit: nothing stored has changed
+    real = ingest.gated_update
+    monkeypatch.setattr(ingest, "gated_update", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        ingest.store_update(spark, str(path), fetched, verdicts, "u7")
+    assert _stored(spark, str(path)) == before
+    monkeypatch.setattr(ingest, "gated_update", real)
+
+    # dies after the commit, with one partition written: a second call repeats the rest from what was committed
+    status = ingest.store_update(spark, str(path), fetched, verdicts, "u7")
+    assert {r["ticker"]: r["status"] for r in status.collect()} == {"A": "ok", "B": "quality_fail_transient", "ONLY": "ok", "NEW": "quality_fail"}
+    assert _stored(spark, str(path)) == want
+    import shutil
+
+    shutil.rmtree(path / "market=M" / "year=2020")
+    ingest.store_update(spark, str(path), fetched.limit(0), verdicts.limit(0), "u7")
+    assert _stored(spark, str(path)) == want
+    assert untouched == {f for f in _files(path) if "market=N" in f}
+    assert not (path / "market=M" / "year=2017").exists()

@@ -1,4 +1,4 @@
-
+import datetime as dt
 
 import pytest
 from helpers import BAR, as_dict, day
@@ -144,3 +144,71 @@ def test_error_classes(spark):
 def test_record_rules_reject_nulls(spark):
     df = spark.createDataFrame([(0.5, 0.5, 1), (2.0, 0.5, 1), (0.5, None, 1), (0.5, 0.5, 0)], "score double, confidence double, quantity int")
     assert [r["rejected"] for r in filters.checked(df).collect()] == [None, "score", "confidence", "quantity"]
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_exposure_and_holding_on_minutes_of_alike_names(spark, parts):
+    """Minute bars, all names with one prefix, one name with most rows: equal to stepping through the bars."""
+    import random
+
+    from barquet.operators.scan import in_order
+
+    rng = random.Random(5)
+    rows = []
+    for ticker, minutes in (("AA1", 150), ("AA2", 40), ("AAB", 12), ("A", 5)):
+        for m in sorted(rng.sample(range(160), minutes)):
+            rows.append(("R", "M", ticker, dt.datetime(2026, 1, 5, 9) + dt.timedelta(minutes=m), float(rng.random() < 0.3)))
+    flags = ledger.open_flags(spark.createDataFrame(rows, "run string, market string, ticker string, ts timestamp, weight double"), ["run", "market", "ticker"])
+    cut = in_order(flags, ["run"], ["ts", "ticker", "market"], parts)
+    assert cut.select("_part").distinct().count() == parts
+    held, since, lengths, exposed = {}, {}, [], 0
+    bars = sorted(rows, key=lambda r: (r[3], r[2]))
+    for i, (_, _, ticker, _, weight) in enumerate(bars):
+        if weight and not held.get(ticker):
+            since[ticker] = i
+        if not weight and held.get(ticker):
+            lengths.append(i - since.pop(ticker))
+        held[ticker] = bool(weight)
+        exposed += any(held.values())
+    lengths += [len(bars) - i for i in since.values()]
+    assert ledger.exposure(cut, ["run"]).first()["exposure"] == pytest.approx(exposed / len(bars))
+    got = ledger.holding_periods(cut, ["run"]).first()
+    assert (got["holdings"], got["avg_holding"]) == (len(lengths), pytest.approx(sum(lengths) / len(lengths)))
+
+
+def test_marks_follow_the_holding_intervals(spark):
+    """Random fills and bars, gaps in both: equal to stepping through the dates; a closed position makes no row."""
+    import random
+
+    rng = random.Random(8)
+    fills, bars = [], []
+    for ticker in ("X", "Y", "Z"):
+        bars += [("NASDAQ", ticker, day(i), 1.0, 1.0, 1.0, rng.choice([None, 5.0 + i % 7]) if i % 5 == 0 else 5.0 + i % 7, 1)
+                 for i in range(60) if rng.random() < 0.6 and ticker != "Z"]
+        for account in ("A", "B"):
+            held = 0
+            for k, i in enumerate(sorted(rng.sample(range(60), 7))):
+                side = "SELL" if held and rng.random() < 0.6 else "BUY"
+                qty = held if side == "SELL" else rng.randint(1, 4)
+                held += qty if side == "BUY" else -qty
+                fills.append((account, "NASDAQ", ticker, "USD", day(i), k, side, qty, 3.0 + i, 0.0))
+    got = {}
+    for r in ledger.symbol_values(fill(spark, fills), spark.createDataFrame(bars, BAR)).collect():
+        assert (r["account"], r["ticker"], r["d"]) not in got
+        got[r["account"], r["ticker"], r["d"]] = (r["position"], r["mark"])
+    closes = {(t, d): c for _, t, d, _, _, _, c, _ in bars}
+    want = {}
+    for account in ("A", "B"):
+        for ticker in ("X", "Y", "Z"):
+            mine = [f for f in fills if f[0] == account and f[2] == ticker]
+            position, mark = 0, mine[0][8]
+            for i in range(60):
+                d = day(i)
+                today = [f for f in mine if f[4] == d]
+                position += sum(f[7] if f[6] == "BUY" else -f[7] for f in today)
+                close = closes.get((ticker, d))
+                if d >= mine[0][4]:
+                    mark = close if close is not None else mark
+                    if today or (position and close is not None):
+                        want[account, ticker, d] = (position, mark)
+    assert got == want

@@ -55,7 +55,7 @@ CLOSES = [1, 2, 3, 4, 5, 6, 5, 4, 5, 6, 7, 8]
 
 
 def bar_rows(lo, hi):
-    return [("M", t, T(1 + i), CLOSES[i % 12] * f, CLOSES[i % 12] * f + 0.5, CLOSES[i % 12] * f - 0.5, CLOSES[i % 12] * f)
+    return [("M", t, T(1) + dt.timedelta(days=i), CLOSES[i % 12] * f, CLOSES[i % 12] * f + 0.5, CLOSES[i % 12] * f - 0.5, CLOSES[i % 12] * f)
             for t, f in (("A", 1.0), ("B", 3.0)) for i in range(lo, hi)]
 
 
@@ -83,12 +83,19 @@ def test_only_closed_windows_are_emitted(spark, tmp_path):
     assert [(r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in got] == [(5.0, 9.0, 4.0, 4.0, 3)]
 
 
+FILLS = "order_id string, qty long, ts timestamp"
+
+
 def test_duplicate_fills_and_finished_bars(spark, tmp_path):
-    fills = [("o1", 5, T(1)), ("o1", 7, T(1, 1)), ("o2", 1, T(1))]
-    spark.createDataFrame(fills, "order_id string, qty long, ts timestamp").write.parquet(str(tmp_path / "f"))
     orders = spark.createDataFrame([("o1", "S")], "order_id string, sleeve string")
-    got = drain_to_table(st.first_fills(read_table(spark, str(tmp_path / "f")), orders), "f", str(tmp_path / "fo"), str(tmp_path / "fc"))
-    assert sorted((r["order_id"], r["sleeve"]) for r in got.collect()) == [("o1", "S"), ("o2", None)]
+    got = None
+    # the earlier fill of o1 arrives in a later batch; a fill after the horizon is a new session
+    for batch in ([("o1", 7, T(1, 1)), ("o2", 1, T(1))], [("o1", 5, T(1)), ("o2", 9, T(1, 2))], [("o1", 3, T(9)), ("x", 0, T(20))]):
+        spark.createDataFrame(batch, FILLS).write.mode("append").parquet(str(tmp_path / "f"))
+        stream = st.first_fills(read_table(spark, str(tmp_path / "f")), orders, "1 day", "12 hours", order=("ts", "qty"))
+        got = drain_to_table(stream, "f", str(tmp_path / "fo"), str(tmp_path / "fc"))
+    assert sorted((r["order_id"], r["qty"], r["ts"], r["sleeve"]) for r in got.collect()) == [
+        ("o1", 3, T(9), "S"), ("o1", 5, T(1), "S"), ("o2", 1, T(1), None)]
     schema = "market string, ticker string, d date, close double"
     start = spark.createDataFrame([("M", "A", day(0), 1.0), ("M", "A", day(1), 1.0)], schema)
     rows = [("M", "A", day(i), 2.0, i) for i in range(6)] + [("M", "A", day(3), 1.5, 9)]  # the later arrival loses
@@ -102,3 +109,60 @@ def test_jumps_across_batches(spark, tmp_path):
     spark.createDataFrame(rows, "market string, ticker string, ts timestamp, close double").write.parquet(str(tmp_path / "j"))
     got = drain_to_table(state.jumps(read_table(spark, str(tmp_path / "j"))), "j", str(tmp_path / "o"), str(tmp_path / "c")).collect()
     assert [(r["ts"], round(r["move"], 6)) for r in got] == [(T(2), 0.6)]
+
+
+def test_one_step_serves_table_and_stream(spark, tmp_path):
+    """All indicators and the combined score over five arrivals, one of late bars: as on the whole table."""
+    every = bar_rows(0, 95)
+    names = list(ind.INDICATORS)
+    (short, one), (long, two) = ind.indicator_columns(names), ind.combined_columns()
+    source, run = str(tmp_path / "in"), None
+    for lo, hi in ((0, 5), (5, 40), (20, 25), (40, 41), (41, 95)):
+        spark.createDataFrame(every[lo:hi] + every[95 + lo : 95 + hi], BARS).write.mode("append").parquet(source)
+        run = run or state.framed_stream(read_table(spark, source), (max(short, long), lambda df, f: two(one(df, f), f)))
+        got = run()
+    assert got.count() == 190
+    table = spark.createDataFrame(every, BARS)
+    for live, batch in ((ind.signal_rows(got), ind.indicator_signals(table)), (ind.combined_rows(got), ind.combined_technical(table))):
+        live, batch = ({(r["source"], r["ticker"], r["ts"]): (r["score"], r["confidence"]) for r in x.collect()} for x in (live, batch))
+        assert set(live) == set(batch) and len(live) > 80
+        assert all(live[k] == pytest.approx(batch[k], abs=1e-9) for k in live)
+
+
+def test_news_of_later_files_counts_and_state_is_dropped(spark, tmp_path):
+    paths = [str(tmp_path / n) for n in ("bars", "news", "out", "state")]
+    stories = [("beats", T(1)), ("plunge", T(3)), ("record", T(4, 2)), ("beats", T(11)), ("falls", T(12, 5))]
+    scored = items(spark, stories).select("market", "ticker", "published_at", "score", "confidence")
+    hours = [T(1, 6), T(4), T(4, 3), T(10), T(11, 1), T(13)]
+    got = None
+    # news of the 4th arrives a batch after the bars of that day; the last row of each only moves the watermark
+    for b, n in ((hours[:3], (T(1), T(3, 1))), (hours[3:5], (T(3, 1), T(11, 1))), (hours[5:], (T(11, 1), T(13))), ([T(28)], None)):
+        spark.createDataFrame([("M", "X" if t < T(28) else "-", t) for t in b], "market string, ticker string, ts timestamp").write.mode("append").parquet(paths[0])
+        near = scored.filter((F.col("published_at") >= n[0]) & (F.col("published_at") < n[1])) if n else scored.limit(1).withColumn("ticker", F.lit("-")).withColumn("published_at", F.lit(T(28)))
+        near.write.mode("append").parquet(paths[1])
+        schema = "market string, ticker string, ts timestamp"
+        stream = st.news_signals(read_table(spark, paths[0], schema), read_table(spark, paths[1], scored.schema))
+        got = drain_to_table(stream, "n", paths[2], paths[3])
+    want = {r["ts"]: r for r in nw.news_signal(items(spark, stories), bars(spark, hours)).collect()}
+    live = {r["ts"]: r for r in got.collect()}
+    assert set(live) == set(want) == set(hours)
+    for t, r in live.items():
+        assert (r["score"], r["confidence"], r["n_items"]) == (pytest.approx(want[t]["score"]), pytest.approx(want[t]["confidence"]), want[t]["features"]["n_items"])
+    # both sides of the join are empty again but for the closing rows
+    left = spark.read.format("statestore").option("operatorId", 1).option("joinSide", "left").load(paths[3]).count()
+    right = spark.read.format("statestore").option("operatorId", 1).option("joinSide", "right").load(paths[3]).count()
+    assert left <= 1 and right <= 1
+
+
+def test_a_silent_job_is_reported_without_a_row_of_its_own(spark, tmp_path):
+    schema = "component string, ts timestamp, max_age_hours double"
+    got = None
+    batches = ([("a", T(1), 5.0), ("b", T(1), 30.0)], [("b", T(1, 6), 30.0)], [("b", T(2), 30.0), ("a", T(2, 1), 5.0), ("a", T(2, 6), 5.0)], [("b", T(3), 30.0)])
+    seen = []
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(str(tmp_path / "b"))
+        got = drain_to_table(st.silences(read_table(spark, str(tmp_path / "b"))), "b", str(tmp_path / "o"), str(tmp_path / "c"))
+        seen.append(sorted((r["component"], r["last"], r["silent_since"], r["beats"]) for r in got.collect()))
+    first = ("a", T(1), T(1, 5), 1)
+    # 'a' is reported by the batch that has rows of 'b' only; beats exactly five hours apart are no silence
+    assert seen == [[], [first], [first], [first, ("a", T(2, 6), T(2, 11), 2)]]

@@ -91,17 +91,23 @@ def test_ranks_and_quantiles(spark, bounded):
         np.testing.assert_allclose([q.loc[g, "lo"], q.loc[g, "hi"]], np.quantile(rows["v"], [0.13, 0.87]))
 
 
-def test_a_day_of_a_key_is_cut_in_parts(spark):
-    from barquet.operators.scan import running, with_position
-
-    df = spark.range(200).selectExpr("'a' AS key", "date_add(DATE '2024-01-01', CAST(id % 2 AS INT)) AS d", "id AS k", "(id * 37) % 11 AS v")
-    part = F.floor(F.col("k") / 16)
-    rows = sorted((r["d"], r["k"], r["v"]) for r in df.collect())
-    placed = with_position(df, ["key"], ("d", "k"), width=1, within=part).collect()
-    assert {(r["d"], r["k"]): r["pos"] for r in placed} == {(d, k): i for i, (d, k, _) in enumerate(rows)}
-    got = running(df, {"s": ("sum", "v"), "m": ("max", "v")}, ["key"], ("d", "k"), width=1, within=part).collect()
-    total, most, want = 0, -1, {}
-    for d, k, v in rows:
-        total, most = total + v, max(most, v)
-        want[(d, k)] = (total, most)
-    assert {(r["d"], r["k"]): (r["s"], r["m"]) for r in got} == want
+@pytest.mark.parametrize("parts", [1, 7])
+def test_any_order_is_cut_in_parts(spark, parts):
+    """Few times, many rows at each, nearly all of them of one symbol, and a second small key."""
+    made = spark.range(200).selectExpr(
+        "IF(id < 180, 'a', 'b') AS key", "date_add(DATE '2024-01-01', CAST(id % 2 AS INT)) AS d", "IF(id % 9 = 0, 'X', 'H') AS t",
+        "id AS k", "(id * 37) % 11 AS v",
+    )
+    df = scan.in_order(made, ["key"], ["d", "t", "k"], parts)
+    assert df.select(scan.PART).distinct().count() >= min(parts, 5)
+    rows = sorted((r["key"], r["d"], r["t"], r["k"], r["v"]) for r in df.collect())
+    placed = scan.with_position(df, ["key"], ("d", "t", "k"), part=scan.PART).collect()
+    got = scan.running(df, {"s": ("sum", "v"), "m": ("max", "v"), "l": ("last", "v")}, ["key"], ("d", "t", "k"), part=scan.PART)
+    where, sums = {}, {}
+    for key in ("a", "b"):
+        total, most = 0, -1
+        for i, (_, d, t, k, v) in enumerate(r for r in rows if r[0] == key):
+            total, most = total + v, max(most, v)
+            where[k], sums[k] = i, (total, most, v)
+    assert {r["k"]: r["pos"] for r in placed} == where
+    assert {r["k"]: (r["s"], r["m"], r["l"]) for r in got.collect()} == sums

@@ -49,9 +49,18 @@ def test_appending_bars_never_changes_earlier_rows(spark):
 
 
 def test_python_signal_sees_only_its_window(spark):
-    full = bars_frame(spark, path_rows("X", [float(i + 1) for i in range(40)]))
-    seen = signals.python_signal(full, lambda w: float(len(w) * 1000 + w["close"].iloc[-1]), 7).orderBy("d").collect()
-    assert [r["score"] for r in seen] == [None] * 6 + [7000.0 + i for i in range(7, 41)]
+    n = 2500  # several chunks
+    full = bars_frame(spark, path_rows("X", [float(i + 1) for i in range(n)]) + path_rows("Y", [1.0] * 3))
+
+    def score(windows):
+        close = windows["close"]
+        assert set(windows) == {"open", "high", "low", "close", "volume"}
+        return np.where(close[:, -1] % 10 == 0, np.nan, close.shape[1] * 1e6 + close[:, 0] * 1e3 - close[:, -1])
+
+    seen = signals.python_signal(full, score, 7)
+    got = [r["score"] for r in seen.filter("ticker = 'X'").orderBy("d").collect()]
+    assert got == [None] * 6 + [None if i % 10 == 0 else 7e6 + (i - 6) * 1e3 - i for i in range(7, n + 1)]
+    assert [r["score"] for r in seen.filter("ticker = 'Y'").collect()] == [None] * 3
 
 
 def indicator(spark, closes, name):
