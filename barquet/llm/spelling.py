@@ -32,7 +32,7 @@ from .acceptor import build, letters, one_edit_pairs
 RUN, SHORTEST, LEAST, DROP = r"[A-Za-zÀ-ÿ]", 7, 2, 31
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TIMES = 10
-#: Code points (words times length) that one task builds acceptors of.
+#: Code points that one task builds acceptors of, about.
 PART = 1 << 19
 FOUND = "word string, n_near long, least long, best string"
 
@@ -59,9 +59,8 @@ def _rows(word: np.ndarray, n_near: np.ndarray, least: np.ndarray, best: np.ndar
     return pd.DataFrame({name: pd.Series(values, dtype=kind) for name, (values, kind) in kinds.items()})
 
 
-def _near(part: pd.DataFrame) -> pd.DataFrame:
+def _near_of_length(part: pd.DataFrame, length: int, reverse: bool) -> pd.DataFrame:
     """Per word of the part its number of near words, and among them the largest n with the smallest word."""
-    length, reverse = int(part["length"].iloc[0]), bool(part["reversed"].iloc[0])
     half = length // 2
     words = part["word"].str[::-1] if reverse else part["word"]
     shared = words.str[:half].duplicated(keep=False).to_numpy()
@@ -71,8 +70,7 @@ def _near(part: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(words.to_numpy(np.str_))
     words = words.to_numpy(np.str_)[order]
     original, n = part["word"].to_numpy(object)[order], part["n"].to_numpy(np.int64)[order]
-    word = letters(words)
-    i, j = one_edit_pairs(build(word), half, length)
+    i, j = one_edit_pairs(build(letters(words)), half, length)
     if reverse:
         # the first difference, seen from the front, must lie within the prefix: else the other end has the pair
         plain = letters(original)[:, :half]
@@ -86,6 +84,11 @@ def _near(part: pd.DataFrame) -> pd.DataFrame:
     return _rows(original[who], size, -n[two[first]], original[two[first]])
 
 
+def _near(task: pd.DataFrame) -> pd.DataFrame:
+    found = [_near_of_length(part, int(c), bool(back)) for (c, back), part in task.groupby(["length", "reversed"])]
+    return pd.concat(found, ignore_index=True)
+
+
 def near_words(words: DataFrame, part: int = PART) -> DataFrame:
     """(word, n_near, form, form_n of the near word of largest n) for the words that have near words."""
     length = F.length("word")
@@ -96,11 +99,10 @@ def near_words(words: DataFrame, part: int = PART) -> DataFrame:
     rows = words.select("word", "n", F.explode(ends).alias("e")).select("word", "n", "e.length", "e.reversed")
     half = (F.col("length") / 2).cast("int")
     end = F.when(F.col("reversed"), F.right("word", half)).otherwise(F.left("word", half))
-    # how many tasks a length is dealt to: one row per length
-    sizes = rows.groupBy("length").agg(F.ceil(F.count(F.lit(1)) * (F.col("length") + 1) / (2 * part)).alias("tasks"))
-    dealt = rows.withColumn("end", end).join(sizes, "length")
-    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("end"), F.col("tasks"))).drop("end", "tasks")
-    found = dealt.groupBy("length", "reversed", "task").applyInPandas(_near, FOUND)
+    # one number of the vocabulary; which task a prefix or suffix of a length goes to follows from it
+    tasks = words.agg(F.coalesce(F.ceil(4 * F.sum(length) / part), F.lit(1))).scalar()
+    dealt = rows.withColumn("task", F.pmod(F.xxhash64("length", "reversed", end), tasks))
+    found = dealt.groupBy("task").applyInPandas(_near, FOUND)
     best = F.min(F.struct("least", "best"))
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("b")).select(
         "word", "n_near", F.col("b.best").alias("form"), (-F.col("b.least")).alias("form_n")
