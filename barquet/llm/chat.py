@@ -142,9 +142,9 @@ def format_chats(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), whole(role).alias("role"), content.alias("parts")
     )
     at = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "parts")) - 1
-    rows = rows.select(
-        "conv_id", at.alias("t"), "role", F.size("parts").alias("size"), F.posexplode("parts").alias("p", "part")
-    )
+    # numbered before the parts become rows
+    rows = rows.withColumn("t", at)
+    rows = rows.select("conv_id", "t", "role", F.size("parts").alias("size"), F.posexplode("parts").alias("p", "part"))
     rows = rows.select("conv_id", "t", "p", "role", "size", F.col("part.ref").alias("ref"), visitor.visit(F.col("part")).alias("v"))
     head = F.when(F.col("p") == 0, F.concat(F.lit(START), _role_out(F.col("role")), F.lit("\n"))).otherwise("")
     tail = F.when(F.col("p") == F.col("size") - 1, F.lit(END + "\n")).otherwise("")
