@@ -45,26 +45,50 @@ def test_stage_removes_near_copies_that_simhash_leaves(spark):
     assert {r["doc_id"] for r in kept.collect()} == want
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_crowded_buckets_leave_no_pair(spark, rounds):
-    base = prose(5, 200)
-    texts = [edited(base, i, i % 9) for i in range(50)] + [prose(i + 10, 200) for i in range(5)]
-    docs = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string")
-    members = docs.select(F.xxhash64("text").alias("key"), F.explode(nearcopies.bucket_column("text")).alias("bucket"))
-    members = nearcopies.staged(members, "members")
-    edges = nearcopies.links(members, docs, bucket=3, group=4, rounds=rounds)
-    keys = {r["key"]: r["text"] for r in docs.select(F.xxhash64("text").alias("key"), "text").collect()}
+def group_of_copies():
+    """Edits of one base, light and heavy, texts that share one passage, and texts of their own."""
+    base, passage = prose(5, 200), prose(77, 120)
+    texts = [edited(base, i, i % 9) for i in range(50)] + [edited(base, 100 + i, 12 + i % 12) for i in range(30)]
+    texts += [f"{prose(300 + i, 60 + i % 60)} {passage}" for i in range(40)] + [prose(i + 10, 200) for i in range(5)]
+    texts += [base[: -len(base) // 20], base + " " + prose(9, 12), "a b c", "A b  c", "d e f"]
+    return list(dict.fromkeys(texts))
+
+
+def alike_pairs(texts):
+    return {frozenset((a, b)) for i, a in enumerate(texts) for b in texts[:i] if jaccard(a, b) >= 0.8}
+
+
+@pytest.mark.parametrize("sample, least", [(0, 1), (10_000, 2), (10_000, 20)])
+def test_prefixes_reach_every_alike_pair(spark, sample, least):
+    """Whatever order the frequent shingles have, and whatever part a shingle is in."""
+    texts = group_of_copies()
+    docs = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(3)
+    frame = docs.select(F.xxhash64("text").alias("key"), "text")
+    rows = nearcopies.staged(nearcopies.entries(frame, part=500, flush=3000, sample=sample, least=least), "rows")
+    names = {r["key"]: r["text"] for r in frame.distinct().collect()}
+    pairs = {frozenset((names[r["a"]], names[r["b"]])) for r in nearcopies._small_pairs(rows, 80).distinct().collect()}
+    want = alike_pairs(texts)
+    assert want <= pairs and len(want) > 100
+    assert not {p for p in pairs if any(t.endswith(prose(77, 120)) for t in p)}
+    blocks = nearcopies._block_pairs(rows.join(rows.groupBy("token").count(), "token"), 4, 80)
+    assert {frozenset((names[r["a"]], names[r["b"]])) for r in blocks.distinct().collect()} == pairs
+
+
+@pytest.mark.parametrize("small, group", [(1000, 64), (3, 4), (1, 2)])
+def test_crowded_rows_leave_no_alike_pair(spark, small, group):
+    texts = group_of_copies()
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select(F.xxhash64("text").alias("key"), "text")
+    rows = nearcopies.staged(nearcopies.entries(frame), "rows")
+    sets = nearcopies.staged(frame.select("key", nearcopies.set_column("text").alias("h")), "sets")
+    edges = nearcopies.links(rows, sets, small=small, group=group)
+    keys = {r["key"]: r["text"] for r in frame.collect()}
     assert all(jaccard(keys[r["a"]], keys[r["b"]]) >= 0.8 for r in edges.collect())
+    if small == 1000:
+        assert {frozenset((keys[r["a"]], keys[r["b"]])) for r in edges.collect()} == alike_pairs(texts)
     gone = {r["node"] for r in nearcopies.components(edges).filter("node <> root").collect()}
     kept = [t for k, t in keys.items() if k not in gone]
-    assert 5 < len(kept) < len(keys)
-    assert not [1 for i, a in enumerate(kept) for b in kept[:i] if jaccard(a, b) >= 0.8]
-
-
-def test_unrelated_texts_in_one_bucket_stay(spark):
-    docs = spark.createDataFrame([(i, prose(i, 60)) for i in range(20)], "doc_id long, text string")
-    members = docs.select(F.xxhash64("text").alias("key"), F.lit(1).cast("long").alias("bucket"))
-    assert nearcopies.links(members, docs, bucket=3, group=4).count() == 0
+    assert 40 < len(kept) < len(keys) - 20
+    assert not alike_pairs(kept)
 
 
 def test_awkward_rows(spark):
