@@ -6,11 +6,14 @@ import html
 import re
 from dataclasses import dataclass
 
+#: Attributes of a tag: no bare "<", so an unfinished tag ends at the next one and a broken page takes no longer
+#: than a sound one.
+_INSIDE = r"(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
+    rf"|<(script|style|textarea)(?=[\s/>]){_INSIDE}>.*?(?:</\1(?=[\s/>])[^<>]*+>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_INSIDE})>"
+    r"|<[!?][^<>]*+>",
     re.S | re.I,
 )
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -69,13 +72,55 @@ def closed(tokens: list[re.Match[str]]) -> set[int]:
     return found
 
 
+#: Elements of a block's path that count: so many outermost and innermost ones.
+ENDS = 64
+
+
+class _Stack:
+    """Open elements, and for each name where it is open, so that no search walks down the stack."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def push(self, tag: str, own: tuple[str, ...]) -> None:
+        place = len(self.items)
+        self.items.append((tag, own))
+        self.at.setdefault(tag, []).append(place)
+        if tag in P_SCOPE:
+            self.scopes.append(place)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of one of the names, -1 if there is none."""
+        return max((found[-1] for t in tags if (found := self.at.get(t))), default=-1)
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
+
+    def cut(self, to: int) -> list[str]:
+        """Close the elements from ``to`` on; their names."""
+        gone = [tag for tag, _ in self.items[to:]]
+        for tag in gone:
+            self.at[tag].pop()
+        del self.items[to:]
+        while self.scopes and self.scopes[-1] >= to:
+            self.scopes.pop()
+        return gone
+
+    def path(self) -> tuple[str, ...]:
+        items = self.items if len(self.items) <= 2 * ENDS else self.items[:ENDS] + self.items[-ENDS:]
+        return tuple(s for _, own in items for s in own)
+
+
 def parse(page: str) -> list[Block]:
     """Leaf blocks in page order; scripts, styles, comments, form fields and the head have none.
 
     An embedded element hides what is inside it; one without an end tag, or empty (``/>``), hides nothing.
+    The work grows with the page's length, however its tags are nested or broken.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
     linked = 0
     in_link = 0
@@ -87,17 +132,15 @@ def parse(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and not hidden:
-                path = tuple(s for _, own in stack for s in own)
-                blocks.append(Block(text, path, min(1.0, linked / max(1, sum(map(len, parts))))))
+                blocks.append(Block(text, stack.path(), min(1.0, linked / max(1, sum(map(len, parts))))))
             parts.clear()
         linked = 0
 
     def pop(to: int) -> None:
         nonlocal in_link, hidden, cover
-        for tag, _ in stack[to:]:
+        for tag in stack.cut(to):
             in_link -= tag == "a"
             hidden -= tag in NOT_SHOWN
-        del stack[to:]
         if to <= cover:
             cover = -1
 
@@ -117,19 +160,16 @@ def parse(page: str) -> list[Block]:
         tag = m[3].lower()
         block = tag in BLOCK
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if i < cover:
-                        pop(cover)
-                    if cover < 0 and any(stack[k][0] in BLOCK for k in range(i, len(stack))):
-                        flush()
-                    pop(i)
-                    break
-                if not block and stack[i][0] in P_SCOPE:
-                    break  # a stray inline end tag does not close its container
-            else:
+            i = stack.last(tag)
+            if i < 0:
                 if tag == "p" and cover < 0:
                     flush()
+            elif block or stack.scope() <= i:  # a stray inline end tag does not close its container
+                if i < cover:
+                    pop(cover)
+                if cover < 0 and any(name in BLOCK for name, _ in stack.items[i:]):
+                    flush()
+                pop(i)
             continue
         if tag == "br":
             if cover < 0:
@@ -139,32 +179,26 @@ def parse(page: str) -> list[Block]:
             if cover < 0:
                 parts.append(" ")
             if m.start() in ended:
-                stack.append((tag, steps(tag, m[4])))
-                cover = len(stack) - 1 if cover < 0 else cover
+                stack.push(tag, steps(tag, m[4]))
+                cover = len(stack.items) - 1 if cover < 0 else cover
             continue
         if block:
             if cover < 0:
                 flush()
             if tag in SIBLINGS:
                 ends, scope = SIBLINGS[tag]
-                for i in range(len(stack) - 1, cover, -1):
-                    if stack[i][0] in scope:
-                        break
-                    if stack[i][0] in ends:
-                        pop(i)
-                        break
+                i = stack.last(*ends)
+                if i > max(cover, stack.last(*scope)):
+                    pop(i)
             if tag in CLOSES_P:
-                for i in range(len(stack) - 1, cover, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in P_SCOPE:
-                        break
+                i = stack.last("p")
+                if i > cover and i > stack.scope():
+                    pop(i)
         if tag in VOID or m[4].endswith("/") and not block:
             if tag == "img" and cover < 0:
                 parts.append(" ")
             continue
-        stack.append((tag, steps(tag, m[4])))
+        stack.push(tag, steps(tag, m[4]))
         in_link += tag == "a"
         hidden += tag in NOT_SHOWN
     if cover >= 0:

@@ -13,7 +13,7 @@ bucket is many groups. One hash of a d-dimensional vector has 2d buckets: raise
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers take no part;
 vectors meet only those of their own length; ties go to the smaller id; a query with no candidate
-has no row. Extra columns are never read.
+has no row; rows with the same id are one row (the smallest of its vectors). Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ HASHES = 1
 PROBES = 8
 CHUNK = 4096
 SALTS = 32
+MARGIN = 4
 SEED = 11
 
 
@@ -107,13 +108,19 @@ def _best(group: pd.DataFrame, keep: int) -> pd.DataFrame:
         return pd.DataFrame({"q": [], "rep": [], "score": []})
     cand = cand.sort_values("rep")
     a, b = matrix(query["v"]), matrix(cand["v"])
-    score = (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
-    # stable, so equal scores keep the order of ids
-    order = np.argsort(-score, axis=1, kind="stable")[:, :keep]
+    size_a, size_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+    near = (a @ b.T) / (size_a[:, None] * size_b[None, :])
+    # a product of matrices may differ in the last bit from group to group: with a margin for that, and then
+    # exactly, each pair by itself
+    some = np.argsort(-near, axis=1, kind="stable")[:, : keep + MARGIN]
+    score = np.stack([(x * b[at]).sum(axis=1) for x, at in zip(a, some, strict=True)])
+    score /= size_a[:, None] * size_b[some]
+    reps = cand["rep"].to_numpy()[some]
+    order = np.lexsort((reps, -score), axis=1)[:, :keep]
     return pd.DataFrame(
         {
             "q": np.repeat(query["rep"].to_numpy(), order.shape[1]),
-            "rep": cand["rep"].to_numpy()[order].ravel(),
+            "rep": np.take_along_axis(reps, order, axis=1).ravel(),
             "score": np.take_along_axis(score, order, axis=1).ravel(),
         }
     )
@@ -143,7 +150,8 @@ def nearest(
     ``is_query`` is a condition on the column ``vec_id``.
     """
     bounded_batches(table.sparkSession, 4096)
-    vecs = staged(sound_vectors(table, vec_id, vector).filter(F.exists("v", lambda x: x != 0.0)).distinct(), "vectors")
+    sound = sound_vectors(table, vec_id, vector).filter(F.exists("v", lambda x: x != 0.0))
+    vecs = staged(sound.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     classes = staged(
         vecs.groupBy("v").agg(
             F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max(F.when(is_query, 1).otherwise(0)).alias("asks")

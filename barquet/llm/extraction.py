@@ -38,7 +38,8 @@ ROUNDS = 420
 PAGES_A_ROUND = 24
 RATE = 0.01
 SEED = 3
-MAX_TRAIN_BLOCKS = 120
+#: Blocks in a row that a training step reads of a page.
+TRAIN_BLOCKS = 120
 
 # Names that pages give their parts, for layouts.
 ASIDE = {
@@ -74,10 +75,18 @@ def place(kind: str, token: str, size: int) -> tuple[int, float]:
     return (h >> 1) % size, 1.0 if h & 1 else -1.0
 
 
+#: Names that say something; all others are one name, so that a page's own vocabulary is no noise.
+KNOWN = frozenset(
+    f".{w}" for names in (*ASIDE.values(), " ".join(MAIN), "site main page wrap inner list box block area unit slot comment reply user hidden")
+    for w in names.replace("-", " ").split()
+)
+
+
 @lru_cache(maxsize=1 << 14)
 def path_vector(path: tuple[str, ...]) -> np.ndarray:
     out = np.zeros(PATH_PLACES)
     for i, step in enumerate(path):
+        step = ".?" if step[0] == "." and step not in KNOWN else step
         at, sign = place("p", step, PATH_PLACES)
         out[at] += sign
         if i >= len(path) - 2:
@@ -94,13 +103,15 @@ def block_matrix(blocks: Sequence[Block]) -> np.ndarray:
         words = b.text.lower().split()
         # all words of short blocks; of long ones the counts flatten out, so their sum is scaled
         share = 1.0 / max(4.0, len(words)) ** 0.5
+        held = [0.0] * WORD_PLACES
         for w in words:
             at, sign = place("w", w, WORD_PLACES)
-            x[i, PATH_PLACES + at] += share * sign
+            held[at] += share * sign
+        x[i, PATH_PLACES : PATH_PLACES + WORD_PLACES] = held
         n, k = len(b.text), len(words)
         x[i, -NUMBERS:] = (
             np.log1p(n) / 8, np.log1p(k) / 6, b.links, b.text[-1] in ".!?…\"'»”", b.text[:1].isupper(),
-            sum(c in ".,;:!?" for c in b.text) / max(1, k), i / max(1, len(blocks)), 1.0,
+            sum(map(b.text.count, ".,;:!?")) / max(1, k), i / max(1, len(blocks)), 1.0,
         )
     x[:, PATH_PLACES : PATH_PLACES + WORD_PLACES] = np.clip(x[:, PATH_PLACES : PATH_PLACES + WORD_PLACES], -2, 2)
     return x
@@ -197,22 +208,53 @@ def padded(mats: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def layout(rng: np.random.Generator, prose: Sequence[str], noise: Sequence[str]) -> list[tuple[str, float]]:
     """A made-up page as (html, label) pieces: main text somewhere among parts of other roles.
 
-    ``prose`` are paragraphs, ``noise`` short texts of the pages' other parts.
+    ``prose`` are paragraphs, ``noise`` short texts of the pages' other parts. Half of the layouts have
+    random names, or none, in place of telling ones: there only elements, words and places speak.
     """
     pick = lambda seq: seq[int(rng.integers(len(seq)))]
+    mute = rng.random() < 0.5
+
+    def named(name: str) -> str:
+        if not mute:
+            return name
+        return "".join(pick("abcdefghijklmnoprstuvwz") for _ in range(int(rng.integers(2, 9))))
+
+    def words(text: str, low: int, high: int) -> str:
+        cut = text.split()
+        at = int(rng.integers(max(1, len(cut) - low)))
+        return " ".join(cut[at : at + int(rng.integers(low, high))]) or text
+
+    def content() -> str:
+        """One piece of main text in the shapes that articles use besides paragraphs."""
+        form, text = rng.random(), pick(prose)
+        if form < 0.25:
+            head = "".join(f"<th>{words(pick(prose), 1, 3)}</th>" for _ in range(int(rng.integers(2, 5)))) if rng.random() < 0.6 else ""
+            cells = lambda: "".join(f"<td>{words(pick(prose), 1, 7) if rng.random() < 0.7 else int(rng.integers(2000))}</td>" for _ in range(int(rng.integers(2, 5))))
+            body = "".join(f"<tr>{cells()}</tr>" for _ in range(int(rng.integers(1, 6))))
+            return f"<table>{f'<tr>{head}</tr>' if head else ''}{body}</table>"
+        if form < 0.45:
+            code = "\n".join(f"{pick(['x', 'run', 'if a', 'for i in', 'return', 'def f', 'print', '$ ls', 'let y'])} = {words(pick(prose), 1, 4)};" for _ in range(int(rng.integers(1, 6))))
+            return f"<pre>{f'<code>{code}</code>' if rng.random() < 0.5 else code}</pre>"
+        if form < 0.65:
+            return "<dl>" + "".join(f"<dt>{words(pick(prose), 1, 4)}</dt><dd>{words(pick(prose), 3, 20)}</dd>" for _ in range(int(rng.integers(1, 4)))) + "</dl>"
+        if form < 0.8:
+            return f'<figure><img src="/p.jpg"><figcaption>{words(text, 3, 14)}</figcaption></figure>'
+        kind = pick(["ol", "ul"])
+        return f"<{kind}>" + "".join(f"<li>{words(pick(prose), 2, 25)}</li>" for _ in range(int(rng.integers(1, 6)))) + f"</{kind}>"
 
     def chatter(role: str) -> str:
         kind = rng.random()
-        if role == "comments" and kind < 0.7 or role in ("sidebar", "notice", "ad", "footer") and kind < 0.3:
+        if role == "comments" and kind < 0.7 or not mute and role in ("sidebar", "notice", "ad", "footer") and kind < 0.3:
             return pick(prose if rng.random() < 0.6 else noise)
         if kind < 0.5 and noise:
             return pick(noise)
         return " ".join(pick(CHATTER[role]) for _ in range(int(rng.integers(1, 9)))).capitalize()
 
     def part(role: str) -> list[tuple[str, float]]:
-        name = pick(ASIDE[role].split())
+        # prose under a name that says nothing is main text; comments are known by their names
+        name = pick(ASIDE[role].split()) if role == "comments" else named(pick(ASIDE[role].split()))
         tag = ROLES[role] if rng.random() < 0.45 else pick(["div", "section", "div", "ul" if role == "nav" else "div"])
-        label = f' {pick(["class", "id"])}="{pick(["", "site-", "js ", "main-", "page-"])}{name}{pick(["", "", "-list", "-box", "-wrap", "-inner", "-slot", "-unit", "-area", "-block"])}"'
+        label = f' {pick(["class", "id"])}="{pick(["", "site-", "js ", "main-", "page-"]) if not mute else ""}{name}{pick(["", "", "-list", "-box", "-wrap", "-inner", "-slot", "-unit", "-area", "-block"]) if not mute else ""}"'
         plain = tag in ("nav", "header", "footer", "aside", "form") and rng.random() < 0.6
         out = [(f"<{tag}{'' if plain else label}>", -1.0)]
         if rng.random() < 0.3:
@@ -236,7 +278,8 @@ def layout(rng: np.random.Generator, prose: Sequence[str], noise: Sequence[str])
         elif kind < 0.5:
             begin, end = "<main>", "</main>"
         elif kind < 0.9:
-            begin, end = f'<div {pick(["class", "id"])}="{pick(MAIN)}{pick(["", "", "-wrap", "-main"])}">', "</div>"
+            tail = "" if mute else pick(["", "", "-wrap", "-main"])
+            begin, end = f'<{"section" if rng.random() < 0.15 else "div"} {pick(["class", "id"])}="{named(pick(MAIN))}{tail}">', "</div>"
         else:
             begin, end = "", ""
         out = [(begin, -1.0)]
@@ -246,7 +289,11 @@ def layout(rng: np.random.Generator, prose: Sequence[str], noise: Sequence[str])
         for _ in range(int(rng.integers(1, 12))):
             form = rng.random()
             text = pick(prose)
-            if form < 0.06:
+            if form < 0.02:
+                out.append((f"<h3>{words(text, 1, 6)}</h3>", 1.0))
+            elif form > 0.84:
+                out.append((content(), 1.0))
+            elif form < 0.06:
                 out.append((f"<h2>{text[:50]}</h2>", 1.0))
             elif form < 0.12:
                 out.append((f"<ul><li>{text[:120]}</li></ul>", 1.0))
@@ -288,7 +335,17 @@ def labelled_layout(rng: np.random.Generator, prose: Sequence[str], noise: Seque
         if text:
             blocks.append(Block(text, b.path, b.links))
             labels.append(last)
-    return blocks[:MAX_TRAIN_BLOCKS], np.array(labels[:MAX_TRAIN_BLOCKS])
+    return blocks, np.array(labels)
+
+
+def stretch(rng: np.random.Generator, page: tuple[np.ndarray, np.ndarray], longest: int = TRAIN_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """A page's vectors and labels, or of a longer one ``longest`` blocks in a row from anywhere in it.
+
+    The vectors were made from the whole page, so their places in it are right.
+    """
+    x, y = page
+    at = int(rng.integers(max(1, len(y) - longest + 1)))
+    return x[at : at + longest], y[at : at + longest]
 
 
 def train(pages: Sequence[str], seed: int = SEED, rounds: int = ROUNDS) -> Labeller:
@@ -296,7 +353,7 @@ def train(pages: Sequence[str], seed: int = SEED, rounds: int = ROUNDS) -> Label
     rng = np.random.default_rng(seed)
     real, prose, noise = [], [], []
     for page in pages:
-        blocks = parse(page)[:MAX_TRAIN_BLOCKS]
+        blocks = parse(page)
         y = np.array([rule_label(b) for b in blocks])
         if y.any():
             real.append((block_matrix(blocks), y))
@@ -316,11 +373,11 @@ def train(pages: Sequence[str], seed: int = SEED, rounds: int = ROUNDS) -> Label
         batch = []
         for _ in range(PAGES_A_ROUND):
             if real and rng.random() < 0.25:
-                batch.append(real[int(rng.integers(len(real)))])
+                batch.append(stretch(rng, real[int(rng.integers(len(real)))]))
             else:
                 blocks, y = labelled_layout(rng, prose, noise)
                 if len(y):
-                    batch.append((block_matrix(blocks), y))
+                    batch.append(stretch(rng, (block_matrix(blocks), y)))
         x, mask = padded([m for m, _ in batch])
         y = np.zeros(mask.shape)
         for i, (_, labels) in enumerate(batch):

@@ -1,24 +1,32 @@
-"""Exact top-k inner products with one KD-tree per shard.
-
-Rows are dealt into shards of about ``SHARD`` rows, and each shard builds a KD-tree: the widest
-coordinate is split at its median until a leaf holds at most ``LEAF`` rows, and every leaf keeps the
-tight box of its rows. The largest inner product a query can have inside a box is the sum over the
-coordinates of the larger of q*low and q*high. A query takes the leaves best bound first and stops
-at the first bound below its kth score so far (leaves that tie with it are still read, because ties
-go by id).
-
-The search runs in two rounds. In the first each query meets one shard only; its kth score there is
-a floor for the whole table. In the second every block of queries meets every other shard and
-carries that floor with it, so most leaves are never scored. Queries are a stated set, met in blocks.
-
-Scores are exact: whole numbers below 2**53 in double arithmetic. Defined results: vectors that are
-null, empty or hold null or non-finite numbers take no part; vectors meet only those of their own
-length; ties go to the smaller id; rows with the same id are one row (the smallest vector stays).
-Extra columns are never read.
+"""Exact top-k inner products with KD-trees: a median tree deals the rows into shards, each shard keeps its own.
+
+The upper tree comes from a sample of at most ``SAMPLE`` rows: the widest coordinate is cut at its
+median until a shard has about ``SHARD`` rows, so shards are regions and not random lots. Each shard
+grows its tree by exact medians down to ``LEAF`` rows and is written once as one row: tight boxes of all nodes,
+ids and vectors. The largest inner product a query can have inside a box is the sum over the
+coordinates of the larger of q*low and q*high.
+
+A query is bounded against the boxes of all shards (in blocks; boxes only) and visits shards best
+bound first, in rounds of 1, 4, 16 and the rest. After each round its kth score so far is a floor
+for the next: a shard with a smaller bound is never sent the query. Inside a shard the tree is traversed
+best first from its root: the next node is the one with the best bound, and the traversal ends
+at the first bound below the kth score. Bounds that tie with it are still followed, as ties go by id.
+
+Rows with equal vectors have equal scores, so of each vector only the ``k + 1`` smallest ids are searched; a
+vector that very many rows share cannot fill a shard. Queries are a stated set, met in blocks.
+
+Scores are exact. While the sums stay below 2**53 they are taken in doubles; shards and queries with
+larger numbers are scored in Python's whole numbers, without bounds, and a score outside 64 bits is the
+nearest number inside. Defined results: vectors that are null, empty or hold null or non-finite
+numbers take no part; vectors meet only those of their own length; ties go to the smaller id; rows
+with the same id are one row (the smallest vector stays). Extra columns are never read.
 """
 
 from __future__ import annotations
 
+import heapq
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,88 +35,209 @@ from pyspark.sql import functions as F
 
 from ..session import staged
 from .common import bounded_batches
+from .crosspolytope import first_ids
 from .vectors import matrix, sound_vectors
 
 SHARD = 8192
-BLOCK = 1024
-LEAF = 128
+LEAF = 256
+SAMPLE = 16_384
+#: Queries and boxes of one cell.
+BLOCK = 4096
+#: Shards that a query has visited at most after each round but the last.
+VISITS = (1, 5, 21)
+EXACT, FINITE = float(1 << 53), 1.7e308
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 FOUND = "query_id long, vec_id long, score long"
 
 
-def leaves(x: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Row numbers of the leaves of a KD-tree over the rows of ``x``."""
-    done, todo = [], [np.arange(len(x))]
-    while todo:
-        rows = todo.pop()
-        part = x[rows]
-        spread = part.max(axis=0) - part.min(axis=0)
-        at = int(spread.argmax())
-        if len(rows) <= leaf or spread[at] == 0:
-            done.append(rows)  # equal rows cannot be split; they share one tight box
-            continue
-        order = np.argsort(part[:, at], kind="stable")
-        half = len(rows) // 2
-        todo += [rows[order[:half]], rows[order[half:]]]
-    return done
-
-
-def top_in_shard(
-    queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaf: int = LEAF
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best rows of the shard that reach its floor."""
-    parts = leaves(x, leaf)
-    low = np.stack([x[p].min(axis=0) for p in parts])
-    high = np.stack([x[p].max(axis=0) for p in parts])
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    bound = up @ high.T + down @ low.T
-    order = np.argsort(-bound, axis=1, kind="stable")
-    n = len(queries)
-    best_s = np.full((n, k), -np.inf)
-    best_i = np.full((n, k), np.iinfo(np.int64).max)
-    kth = floor.astype(np.float64).copy()
-    alive = np.arange(n)
-    for step in range(len(parts)):
-        # best-first: each live query's next leaf; a query ends when its next bound is too small
-        nxt = order[alive, step]
-        on = bound[alive, nxt] >= kth[alive]
-        alive, nxt = alive[on], nxt[on]
-        if not len(alive):
+@dataclass
+class Tree:
+    """A KD-tree over ``x``, whose rows are in the order of its leaves. ``nodes``: left, right (-1 in leaves), start, stop."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    nodes: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def grow(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Tree:
+    order = np.lexsort((ids,))
+    nodes, low, high = [[-1, -1, 0, len(x)]], [], []
+    at = 0
+    while at < len(nodes):
+        _, _, start, stop = nodes[at]
+        part = x[order[start:stop]]
+        low.append(part.min(axis=0))
+        high.append(part.max(axis=0))
+        spread = high[-1] - low[-1]
+        axis = int(spread.argmax())
+        if stop - start > leaf and spread[axis] > 0:
+            order[start:stop] = order[start:stop][np.argsort(part[:, axis], kind="stable")]
+            middle = (start + stop) // 2
+            nodes[at][:2] = [len(nodes), len(nodes) + 1]
+            nodes += [[-1, -1, start, middle], [-1, -1, middle, stop]]
+        at += 1
+    return Tree(x[order], ids[order], np.array(nodes, np.int64), np.array(low), np.array(high))
+
+
+def traverse(tree: Tree, q: np.ndarray, own: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, ids) of the query's ``k`` best rows of the tree that reach ``floor``, best node first."""
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+
+    def bound(node: int) -> float:
+        return float(up @ tree.high[node] + down @ tree.low[node])
+
+    scores, ids = np.zeros(0), np.zeros(0, np.int64)
+    kth = floor
+    heap = [(-bound(0), 0)]
+    while heap:
+        best, node = heapq.heappop(heap)
+        if -best < kth:
             break
-        for which in np.unique(nxt).tolist():
-            rows, who = parts[which], alive[nxt == which]
-            score = queries[who] @ x[rows].T
-            score[query_ids[who][:, None] == ids[rows][None, :]] = -np.inf
-            all_s = np.concatenate([best_s[who], score], axis=1)
-            all_i = np.concatenate([best_i[who], np.broadcast_to(ids[rows], score.shape)], axis=1)
-            keep = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best_s[who] = np.take_along_axis(all_s, keep, axis=1)
-            best_i[who] = np.take_along_axis(all_i, keep, axis=1)
-            kth[who] = np.maximum(kth[who], best_s[who, -1])
-    good = np.isfinite(best_s) & (best_s >= floor[:, None])
-    return np.broadcast_to(query_ids[:, None], good.shape)[good], best_i[good], best_s[good].astype(np.int64)
-
-
-def _search(k: int, leaf: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        asks, rows = group[group["asking"]], group[~group["asking"]]
-        if len(asks) and len(rows):
-            size = rows["v"].map(len)
-            for dim, part in asks.groupby(asks["v"].map(len)):
-                mine = rows[size == dim]
-                if len(mine):
-                    out.append(
-                        top_in_shard(
-                            matrix(part["v"]), part["vec_id"].to_numpy(), part["floor"].to_numpy(np.float64),
-                            matrix(mine["v"]), mine["vec_id"].to_numpy(), k, leaf,
-                        )
-                    )
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+        left, right, start, stop = tree.nodes[node]
+        if left >= 0:
+            for child in (left, right):
+                if (reach := bound(child)) >= kth:
+                    heapq.heappush(heap, (-reach, int(child)))
+            continue
+        found = tree.x[start:stop] @ q
+        good = np.flatnonzero((found >= kth) & (tree.ids[start:stop] != own))
+        if len(good):
+            scores = np.concatenate([scores, found[good]])
+            ids = np.concatenate([ids, tree.ids[start:stop][good]])
+            first = np.lexsort((ids, -scores))[:k]
+            scores, ids = scores[first], ids[first]
+            if len(scores) == k:
+                kth = max(floor, scores[-1])
+    return scores, ids
+
+
+def all_rows(tree: Tree, q: np.ndarray, own: int, k: int) -> tuple[list[int], list[int]]:
+    """The same by whole numbers of any size, row by row."""
+    whole = [int(c) for c in q]
+    found = [
+        (-max(LOWEST, min(HIGHEST, sum(a * int(b) for a, b in zip(whole, row)))), int(i))
+        for row, i in zip(tree.x, tree.ids) if i != own
+    ]
+    best = heapq.nsmallest(k, found)
+    return [-s for s, _ in best], [i for _, i in best]
+
+
+def cuts(sample: np.ndarray, shards: int) -> list[tuple[int, float, int, int]]:
+    """The upper tree: (axis, cut, left, right) per node; a child below zero is shard ``-1 - child``."""
+    nodes: list[list] = []
+    leaves = 0
+    todo = [(sample, shards, -1, 0)]
+    while todo:
+        rows, want, parent, side = todo.pop(0)
+        spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(1)
+        axis = int(spread.argmax())
+        if want > 1 and spread[axis] > 0:
+            me = len(nodes)
+            cut = float(np.median(rows[:, axis]))
+            under = rows[:, axis] < cut
+            if not under.any():
+                cut = float(rows[:, axis].max())
+                under = rows[:, axis] < cut
+            nodes.append([axis, cut, 0, 0])
+            todo += [(rows[under], want // 2, me, 2), (rows[~under], want - want // 2, me, 3)]
+        else:
+            me, leaves = -1 - leaves, leaves + 1
+        if parent >= 0:
+            nodes[parent][side] = me
+    return [tuple(n) for n in nodes]
+
+
+def shard_of(x: np.ndarray, nodes: list[tuple[int, float, int, int]]) -> np.ndarray:
+    at = np.zeros(len(x), np.int64) if nodes else np.full(len(x), -1)
+    while (live := np.flatnonzero(at >= 0)).size:
+        axis = np.array([nodes[i][0] for i in at[live]])
+        cut = np.array([nodes[i][1] for i in at[live]])
+        left, right = (np.array([nodes[i][s] for i in at[live]]) for s in (2, 3))
+        at[live] = np.where(x[live, axis] < cut, left, right)
+    return -1 - at
+
+
+def shard_column(v: str, trees: dict[int, list[tuple[int, float, int, int]]]) -> Column:
+    @F.pandas_udf("long")
+    def run(column: pd.Series) -> pd.Series:
+        out = np.zeros(len(column), np.int64)
+        size = column.map(len).to_numpy()
+        for dim in np.unique(size):
+            if trees.get(int(dim)):
+                mine = np.flatnonzero(size == dim)
+                out[mine] = shard_of(matrix(column.iloc[mine]), trees[int(dim)])
+        return pd.Series(out)
+
+    return run(v)
+
+
+SHARDS = "dim int, shard long, low array<double>, high array<double>, shape array<int>, ids binary, x binary, nodes binary, lows binary, highs binary"
+
+
+def _grown(leaf: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tree = grow(matrix(rows["v"]), rows["vec_id"].to_numpy(np.int64), leaf)
+        packed = [[a.tobytes()] for a in (tree.ids, tree.x, tree.nodes, tree.low, tree.high)]
+        return pd.DataFrame({
+            "dim": [tree.x.shape[1]], "shard": [rows["shard"].iloc[0]], "low": [tree.low[0]], "high": [tree.high[0]],
+            "shape": [[len(tree.x), len(tree.nodes)]], **dict(zip(("ids", "x", "nodes", "lows", "highs"), packed, strict=True)),
+        })
+
+    return run
+
+
+def _unpacked(row: pd.Series) -> Tree:
+    rows, nodes = row["shape"]
+    dim = int(row["dim"])
+
+    def read(name: str, kind: type, shape: tuple[int, ...]) -> np.ndarray:
+        return np.frombuffer(row[name], kind).reshape(shape)
+
+    return Tree(
+        read("x", np.float64, (rows, dim)), read("ids", np.int64, (rows,)), read("nodes", np.int64, (nodes, 4)),
+        read("lows", np.float64, (nodes, dim)), read("highs", np.float64, (nodes, dim)),
+    )
+
+
+def _visit(k: int):
+    def run(asks: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int]] = []
+        if len(asks) and len(shards):
+            tree = _unpacked(shards.iloc[0])
+            most = np.abs(tree.x).max() * float(tree.x.shape[1])
+            for own, q, floor in zip(asks["query_id"], asks["v"], asks["floor"], strict=True):
+                q = np.asarray(q, np.float64)
+                if most * np.abs(q).max() < EXACT:
+                    found = traverse(tree, q, own, floor, k)
+                else:
+                    found = all_rows(tree, q, own, k)
+                out += [(own, int(i), int(s)) for s, i in zip(*found, strict=True)]
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        return pd.DataFrame({n: np.array(c, np.int64) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
 
     return run
 
 
+def _bounds(cell: pd.DataFrame) -> pd.DataFrame:
+    """The bound of every shard of the cell for every query of the cell."""
+    asks, boxes = cell[cell["asking"]], cell[~cell["asking"]]
+    if not len(asks) or not len(boxes):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "shard": np.zeros(0, np.int64), "bound": np.zeros(0)})
+    q = matrix(asks["v"])
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.maximum(q, 0) @ matrix(boxes["high"]).T + np.minimum(q, 0) @ matrix(boxes["v"]).T
+        # beyond exact sums: room for rounding, and the range that scores have
+        bound = np.where(np.abs(bound) < EXACT, bound, np.clip(np.nan_to_num(bound, nan=np.inf) + np.abs(bound) * 1e-6, LOWEST, HIGHEST))
+    bound = np.nan_to_num(bound, nan=float(HIGHEST))
+    return pd.DataFrame({
+        "query_id": np.repeat(asks["id"].to_numpy(), len(boxes)),
+        "shard": np.tile(boxes["id"].to_numpy(), len(asks)),
+        "bound": bound.ravel(),
+    })
+
+
 def top_products(
     table: DataFrame,
     is_query: Column,
@@ -119,51 +248,76 @@ def top_products(
     shard: int = SHARD,
     block: int = BLOCK,
     leaf: int = LEAF,
+    visits: tuple[int, ...] = VISITS,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of floor(scale * x) vectors.
 
     ``is_query`` is a condition on the column ``vec_id``.
     """
     bounded_batches(table.sparkSession, 4096)
-    whole_numbers = F.transform("v", lambda x: F.floor(x * scale).cast("double"))
+
+    def quantised(x: Column) -> Column:
+        y = F.greatest(F.least(x * scale, F.lit(FINITE)), F.lit(-FINITE))
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    whole_numbers = F.transform("v", quantised)
     vecs = staged(
         sound_vectors(table, vec_id, vector).select("vec_id", whole_numbers.alias("v"))
         .groupBy("vec_id").agg(F.min("v").alias("v")),
         "quantised",
     )
-    # two numbers of one count: how many shards and how many blocks of queries
-    total, asked = vecs.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
-    shards, blocks = max(1, -(-total // shard)), max(1, -(-asked // block))
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    rows = vecs.withColumn("shard", place)
-    asks = vecs.filter(is_query)
-    search = _search(k, leaf)
-    none = F.lit(float("-inf"))
-
-    def met(questions: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-        """Queries (with a floor) and rows that share ``keys``, searched group by group."""
-        cols = [*keys, "vec_id", "v", "floor"]
-        both = questions.select(*cols, F.lit(True).alias("asking")).unionAll(
-            answers.withColumn("floor", none).select(*cols, F.lit(False).alias("asking"))
-        )
-        return both.groupBy(*keys).applyInPandas(search, FOUND)
-
-    home = staged(met(asks.withColumn("shard", place).withColumn("floor", none), rows, ["shard"]), "home")
-    floors = home.groupBy("query_id").agg(
-        F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n")
-    ).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("least")).otherwise(none).alias("floor"))
-    found = home
-    if shards > 1:
-        own = F.array_repeat(place, 1)
-        away = F.explode(F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), own)).alias("shard")
-        group = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-        travelling = (
-            asks.join(floors, "vec_id", "left")
-            .select("vec_id", "v", F.coalesce("floor", none).alias("floor"), group, away)
-        )
-        waiting = rows.select("vec_id", "v", "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        found = home.unionByName(
-            met(travelling, waiting, ["shard", "block"])
-        )
+    asks = vecs.filter(is_query).withColumn("dim", F.size("v"))
+    # of rows with one vector only the first ids can come in
+    classes = vecs.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    crowd = vecs.join(classes.filter(F.col("n") > k + 1).select("v", "rep"), "v")
+    beyond = crowd.join(first_ids(crowd.select("rep", "vec_id"), "rep", k + 1).select("vec_id"), "vec_id", "left_anti").select("vec_id")
+    rows = staged(vecs.join(beyond, "vec_id", "left_anti").withColumn("dim", F.size("v")), "rows")
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().toLocalIterator()}
+    total = sum(sizes.values())
+    trees = {}
+    if total > shard:
+        drawn = rows.filter(F.rand(1) < min(1.0, SAMPLE / total)).select("dim", "v").toLocalIterator()
+        lists: dict[int, list] = {}
+        for r in drawn:
+            lists.setdefault(r["dim"], []).append(r["v"])
+        trees = {d: cuts(np.array(v, float), -(-sizes[d] // shard)) for d, v in lists.items()}
+    placed = rows.withColumn("shard", shard_column("v", trees))
+    shards = staged(placed.groupBy("dim", "shard").applyInPandas(_grown(leaf), SHARDS), "shards")
+
+    # every query against every shard's box, in cells
+    asked = asks.count()
+    q_blocks, s_blocks = (F.lit(n) for n in (max(1, -(-asked // block)), max(1, -(-total // (shard * block)))))
+    number = F.pmod(F.xxhash64("id"), q_blocks).cast("int")
+    left = asks.select("dim", F.col("vec_id").alias("id"), "v", F.lit(None).cast("array<double>").alias("high"), F.lit(True).alias("asking"))
+    left = left.withColumn("i", number).withColumn("j", F.explode(F.sequence(F.lit(0), s_blocks - 1)))
+    right = shards.select("dim", F.col("shard").alias("id"), F.col("low").alias("v"), "high", F.lit(False).alias("asking"))
+    right = right.withColumn("i", F.explode(F.sequence(F.lit(0), q_blocks - 1))).withColumn("j", F.pmod(F.xxhash64("id"), s_blocks).cast("int"))
+    bounds = left.unionByName(right).groupBy("dim", "i", "j").applyInPandas(_bounds, "query_id long, shard long, bound double")
+    turn = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "shard"))
+    plan = staged(bounds.withColumn("turn", turn), "plan")
+
+    best: DataFrame | None = None
+    done = 0
+    for until in (*visits, None):
+        part = plan.filter((F.col("turn") > done) & (F.col("turn") <= until if until else F.lit(True)))
+        if best is None:
+            part = part.withColumn("floor", F.lit(float("-inf")))
+        else:
+            kth = best.groupBy("query_id").agg(F.min("score").cast("double").alias("least"), F.count(F.lit(1)).alias("n"))
+            floor = F.when(F.col("n") >= k, F.col("least")).otherwise(float("-inf"))
+            part = part.join(kth, "query_id", "left").withColumn("floor", F.coalesce(floor, F.lit(float("-inf")))).filter("bound >= floor")
+        sent = part.join(asks.select(F.col("vec_id").alias("query_id"), "dim", "v"), "query_id").select("query_id", "dim", "v", "shard", "floor")
+        sent = staged(sent, "sent")
+        if until is None and sent.isEmpty():
+            break
+        lots = sent.groupBy("dim", "shard").agg(F.ceil(F.count(F.lit(1)) / block).alias("lots"))
+        keys = ["dim", "shard", "lot"]
+        q_side = sent.join(lots, ["dim", "shard"]).withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots")).drop("lots")
+        s_side = shards.join(lots, ["dim", "shard"]).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).drop("lots", "low", "high")
+        found = q_side.groupBy(*keys).cogroup(s_side.groupBy(*keys)).applyInPandas(_visit(k), FOUND)
+        every = found if best is None else best.unionByName(found)
+        order = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        best = staged(every.withColumn("_n", order).filter(F.col("_n") <= k).drop("_n"), "best")
+        done = until
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank).select("query_id", "rank", "vec_id", "score")

@@ -176,8 +176,8 @@ def learn(
 ) -> Machine:
     """Train on at most ``sample_docs`` labelled documents; ``train_rows`` is a condition on the id.
 
-    Ids are drawn from the narrow label table: of each hash slot the id with the smallest hash. The
-    driver receives the sparse features of the drawn documents only.
+    Ids are drawn from the narrow label table: of each hash slot the id with the smallest hash. Of rows
+    with one id the smallest text counts. The driver receives the sparse features of the drawn documents only.
     """
     bounded_batches(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull())
@@ -198,15 +198,18 @@ def learn(
             made = [features(t, m) for t, m in zip(b["text"], meta.tolist(), strict=True)]
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [a for a, _ in made], "x": [x for _, x in made]})
 
-    # at most ``sample_docs`` rows, so the broadcast has a fixed bound
-    rows = (
+    # at most ``sample_docs`` ids, so the broadcast has a fixed bound; rows that repeat an id are one before
+    # anything leaves the executors
+    one = (
         docs.select(
             F.col(doc_id).alias("id"), whole(text).alias("text"), *[F.col(c).cast("double").alias(n) for c, n in zip(metadata, names, strict=True)]
         )
         .join(F.broadcast(drawn), "id")
-        .mapInPandas(read, "id long, y double, at array<long>, x array<double>")
+        .groupBy("id").agg(F.min(F.struct("text", *names, "y")).alias("one"))
+        .select("id", "one.*")
     )
-    got = sorted(((r["id"], r["y"], r["at"], r["x"]) for r in rows.toLocalIterator()), key=lambda r: (r[0], len(r[2])))
+    rows = one.mapInPandas(read, "id long, y double, at array<long>, x array<double>")
+    got = sorted(((r["id"], r["y"], r["at"], r["x"]) for r in rows.toLocalIterator()), key=lambda r: r[0])
     pairs = [(np.array(a, np.int64), np.array(x)) for _, _, a, x in got]
     return train(pairs, np.array([float(y >= 0.5) for _, y, _, _ in got]), space(metadata), seed)
 
