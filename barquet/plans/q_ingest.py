@@ -507,8 +507,7 @@ WHERE last_date IS NULL OR (SELECT max(d) FROM bars) - last_date > 1"""),
 def qa11(spark, sf):
     bars = bars_day(spark, sf)
     _, names = _quality_input(spark, sf)
-    newest = bars.agg(F.max("d").alias("newest"))  # one row
-    return qa.staleness(bars, names, F.lit(newest.first()[0]), 1)
+    return qa.staleness(bars, names, bars.agg(F.max("d")).scalar(), 1)
 
 
 @query("qa12_duplicate_dates", sql("nogaps", "SELECT market, ticker, d, count(*) AS n FROM nogaps GROUP BY ALL HAVING count(*) > 1"))
@@ -607,8 +606,7 @@ define("iuniverse", "SELECT DISTINCT market, ticker, CAST(substring(ticker, 2) A
 
 def _state(spark, sf):
     bars = bars_day(spark, sf).withColumn("k", F.substring("ticker", 2, 2).cast("int"))
-    newest = bars.agg(F.max("d").alias("m")).first()[0]
-    now = F.timestamp_add("DAY", F.lit(2), F.lit(newest).cast("timestamp"))
+    now = F.timestamp_add("DAY", F.lit(2), bars.agg(F.max("d")).scalar().cast("timestamp"))
     kinds = F.array(*[F.lit(s) for s in ("pending", "ok", "error", "cooldown", "quality_fail")])
     state = bars.filter("k % 7 <> 6").groupBy("market", "ticker", "k").agg(F.max("d").alias("last_date")).select(
         "market",
